@@ -8,10 +8,13 @@ about t*ln(t)/n rounds for n elements, and equal coordinates estimate the Jaccar
 concentration of sampling without replacement.
 
 Documents with equal sets are one class at once. Representatives of classes meet in buckets, one per band.
-A bucket never emits its pairs: each member is paired with the bucket's smallest id, and these pairs are
-verified on full sets. Buckets that still hold members of different components then pair only members outside
-the bucket's largest component with members of other components, until nothing is open. So no link between two
-members of one bucket that would join components is missed, and no bucket, partner or candidate is capped.
+A bucket never emits its pairs: each member is paired with the bucket's most central one (that meets most others
+over all bands), and these pairs are verified on full sets. Where buckets then still hold members of different
+components, shingles that only one of those members has are counted: two sets of n and m elements, of which
+at most p and q are shared with any other, have a similarity of at most min(p, q) / (n + m - min(p, q)). Members
+outside the bucket's largest component are paired with members of other components that this bound allows,
+until nothing is open. So no link between two members of one bucket that would join components is missed, and
+no bucket, partner or candidate is capped.
 
 With bands=42 and rows=6, a pair at the threshold shares no bucket with probability (1-0.85^6)^42 = 2e-9
 (0.8: 3e-6).
@@ -31,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
-from quarry.llm.common import Workspace, components
+from quarry.llm.common import Workspace, components, small
 
 FULL = np.uint64(2**64 - 1)
 LOW = np.uint64(2**48 - 1)
+#: Tables of ids with at most so many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def sketch(elements: np.ndarray, t: int) -> np.ndarray:
@@ -122,14 +127,16 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_task: i
     """Pairs (a, b) with linked, from full sets of texts (doc_id, text).
 
     b's text travels once per pair. a's is sent once to each part of at most about per_task of its pairs, so
-    that no document with many partners makes a large task.
+    that no document with many partners makes a large task. Texts in no pair are left out before the shuffle
+    where the ids are few enough to broadcast.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).alias("parts"))
-    firsts = parts.select("a", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
-    left = firsts.join(texts, F.col("a") == F.col("doc_id")).select("a", F.lit(None).cast("long").alias("b"), "text", "part")
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    right = dealt.join(texts, F.col("b") == F.col("doc_id")).select("a", "b", "text", "part")
-    rows = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    firsts = parts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.col("a").alias("doc_id"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("doc_id"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = texts.join(small(wanted, BROADCAST_IDS), "doc_id", "left_semi")
+    rows = firsts.unionByName(dealt).join(some, "doc_id").select("a", "b", "text", "part")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     done = rows.select("a", "b", "text").mapInArrow(_compare(k, percent), "a long, b long, linked boolean")
     return done.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
@@ -144,42 +151,74 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     sketched = work.save(texts.mapInArrow(_sketches(k, bands, rows), "doc_id long, n long, key binary, bands array<long>"), "sketches")
 
-    classes = sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
-    known = work.save(sketched.select("doc_id", "n", "key").join(classes, "key", "left").select("doc_id", "n", "class_id"), "classes")
-    heads = sketched.where("key IS NOT NULL").join(classes, (sketched["key"] == classes["key"]) & (sketched["doc_id"] == classes["class_id"]), "left_semi").dropDuplicates(["key"])
-    member = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
-    least = member.groupBy("band", "bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("size")).where("a < z")
-    shared = work.save(member.join(least, ["band", "bucket"]).select("band", "bucket", "id", "a"), "shared")
-    pairs = work.save(shared.where("a < id").select("a", F.col("id").alias("b")).distinct(), "pairs-0")
+    keyed = sketched.where("key IS NOT NULL").select("key", "doc_id", "n")
+    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    shared_keys = classes.where("members > 1").select("key", "class_id")
+    copies = work.save(keyed.join(shared_keys, "key").select("doc_id", "class_id"), "copies")
+    later = copies.where("class_id < doc_id")
+    member = sketched.where("key IS NOT NULL").join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
+    buckets = work.save(member.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = work.save(member.join(small(buckets, BROADCAST_IDS), ["band", "bucket"]), "shared")
+
+    centre = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    pivots = shared.join(centre, "id").groupBy("band", "bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"))
+    tied = shared.join(pivots, ["band", "bucket"]).select((-F.col("top.id")).alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    pairs = work.save(tied, "pairs-0")
     done = work.save(verify(pairs, texts, k, percent), "verified-0")
 
-    copies = known.where("class_id < doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    found, all_done, step = done.where("linked").select("a", "b"), done, 0
+    links, found, all_done, step = later.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")), done.where("linked").select("a", "b"), done, 0
     while True:
-        labels = components(copies.unionByName(found), work, f"cc-{step}")
-        labelled = shared.join(labels, "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("c"))
-        open_pairs = _open(labelled).join(all_done, ["a", "b"], "left_anti")
-        pairs = work.save(open_pairs, f"pairs-{step + 1}")
+        labels = components(links.unionByName(found), work, f"cc-{step}")
+        labelled = shared.join(labels, "id", "left").select("band", "bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+        sizes = labelled.groupBy("band", "bucket", "c").agg(F.count("*").alias("own"))
+        largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("own", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "bucket", F.col("top.c").alias("top"))
+        mixed = work.save(labelled.join(largest, ["band", "bucket"]), f"mixed-{step}")
+        alone = _alone(mixed.select(F.col("id").alias("doc_id")).distinct(), texts, k)
+        done_both = all_done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = work.save(_open(mixed, alone, percent).join(done_both, ["a", "b"], "left_anti"), f"pairs-{step + 1}")
         if not pairs.head(1):
             break
         step += 1
         done = work.save(verify(pairs, texts, k, percent), f"verified-{step}")
         all_done = all_done.unionByName(done)
         found = found.unionByName(done.where("linked").select("a", "b"))
-    work.drop("sketches", "shared")
-    by_doc = known.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
+    by_doc = sketched.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     joined = by_doc.join(labels, F.col("doc_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _open(labelled: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one bucket that are in different components.
+def _elements(k: int):
+    schema = pa.schema([("id", pa.int64()), ("g", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for key, own in shingle_sets(batch.column(0), batch.column(1), k):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key, np.int64)), pa.array(own.view(np.int64))], schema=schema)
+
+    return run
+
+
+def _alone(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """How many shingles of each of these documents no other of them has: (id, alone)."""
+    some = texts.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+    elements = some.mapInArrow(_elements(k), "id long, g long")
+    single = elements.groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return single.groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def _open(mixed: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one bucket in different components that can be similar enough.
 
     Members of a bucket's largest component are paired only with members outside it.
     """
-    sizes = labelled.groupBy("band", "bucket", "c").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "bucket", F.col("top.c").alias("top"))
-    mixed = labelled.join(largest, ["band", "bucket"])
-    outside = mixed.where("c <> top").select("band", "bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
-    both = outside.join(mixed, ["band", "bucket"]).where("c <> cx AND (c = top OR x < id)")
-    return both.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    rows = mixed.join(alone, "id", "left").withColumn("p", F.col("n") - F.coalesce("alone", F.lit(0)))
+    bounds = rows.groupBy("band", "bucket").agg(F.min("n").alias("min_n"), F.max("p").alias("max_p"))
+    best = F.least("p", "max_p")
+    able = rows.join(bounds, ["band", "bucket"]).where(100 * best >= percent * (F.col("n") + F.greatest(F.col("min_n") - best, F.lit(0))))
+    able = able.select("band", "bucket", "id", "n", "p", "c", "top")
+    outside = able.where("c <> top").select("band", "bucket", *(F.col(x).alias(f"{x}_x") for x in ("id", "n", "p", "c")))
+    both = F.least("p", "p_x", "n", "n_x")
+    meets = (F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("top")) | (F.col("id_x") < F.col("id"))) & (100 * both >= percent * (F.col("n") + F.col("n_x") - both))
+    other = able.select(F.col("band").alias("band_y"), F.col("bucket").alias("bucket_y"), "id", "n", "p", "c", "top")
+    joined = outside.join(other, (F.col("band") == F.col("band_y")) & (F.col("bucket") == F.col("bucket_y")) & meets)
+    return joined.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
