@@ -9,11 +9,12 @@ concentration of sampling without replacement.
 
 Documents with equal sets are one class at once. Representatives of classes meet in buckets, one per band.
 A bucket never emits its pairs: each member is paired with the bucket's most central one (that meets most others
-over all bands), and these pairs are verified on full sets. Where buckets then still hold members of different
-components, shingles that only one of those members has are counted: two sets of n and m elements, of which
-at most p and q are shared with any other, have a similarity of at most min(p, q) / (n + m - min(p, q)). Members
-outside the bucket's largest component are paired with members of other components that this bound allows,
-until nothing is open. So no link between two members of one bucket that would join components is missed, and
+over all bands, the pivot), and these pairs are verified on full sets. Where buckets then still hold members of
+different components, shingles that only one of those members has are counted. Members x and y share at most
+min(i_x, i_y) + min(e_x, e_y) elements, with i the elements that a member shares with the pivot and e those
+that it shares with others but not with the pivot; that bounds their similarity. Members outside the bucket's
+largest component are paired, in the first bucket they share, with members of other components that this bound
+allows, until nothing is open. So no link between two members of one bucket that would join components is missed, and
 no bucket, partner or candidate is capped.
 
 With bands=42 and rows=6, a pair at the threshold shares no bucket with probability (1-0.85^6)^42 = 2e-9
@@ -96,35 +97,35 @@ def _sketches(k: int, bands: int, rows: int):
 
 def _compare(k: int, percent: int):
     """Rows come ordered by (a, part, role): first a's own text, then the texts to compare with it."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("common", pa.int64())])
 
     def run(batches):
         held, sets = None, []
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = ([], [], [])
+            out = ([], [], [], [])
             for (_, own), x, y in zip(shingle_sets(batch.column(0), batch.column(2), k), a, b, strict=True):
                 if x != held:
                     held, sets = x, []
                 if y is None:
                     sets.append(own)
                     continue
-                linked = False
+                linked, common = False, 0
                 for other in sets:
-                    few, many = sorted((len(own), len(other)))
-                    if few and 100 * few >= percent * many:
-                        both = len(np.intersect1d(own, other, assume_unique=True))
-                        linked |= 100 * both >= percent * (len(own) + len(other) - both)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    linked |= both > 0 and 100 * both >= percent * (len(own) + len(other) - both)
+                    common = max(common, both)
                 out[0].append(x)
                 out[1].append(y)
                 out[2].append(linked)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], schema=schema)
+                out[3].append(common)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_task: int = 2000) -> DataFrame:
-    """Pairs (a, b) with linked, from full sets of texts (doc_id, text).
+    """Pairs (a, b) with linked and common, the size of the intersection, from full sets of texts (doc_id, text).
 
     b's text travels once per pair. a's is sent once to each part of at most about per_task of its pairs, so
     that no document with many partners makes a large task. Texts in no pair are left out before the shuffle
@@ -137,8 +138,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_task: i
     some = texts.join(small(wanted, BROADCAST_IDS), "doc_id", "left_semi")
     rows = firsts.unionByName(dealt).join(some, "doc_id").select("a", "b", "text", "part")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    done = rows.select("a", "b", "text").mapInArrow(_compare(k, percent), "a long, b long, linked boolean")
-    return done.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    done = rows.select("a", "b", "text").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, common long")
+    return done.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.max("common").alias("common"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = 42, rows: int = 6) -> DataFrame:
@@ -156,26 +157,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     shared_keys = classes.where("members > 1").select("key", "class_id")
     copies = work.save(keyed.join(shared_keys, "key").select("doc_id", "class_id"), "copies")
     later = copies.where("class_id < doc_id")
-    member = sketched.where("key IS NOT NULL").join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
+    member = sketched.where("key IS NOT NULL").join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "key", F.posexplode("bands").alias("band", "bucket"))
     buckets = work.save(member.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     shared = work.save(member.join(small(buckets, BROADCAST_IDS), ["band", "bucket"]), "shared")
 
     centre = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     pivots = shared.join(centre, "id").groupBy("band", "bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"))
-    tied = shared.join(pivots, ["band", "bucket"]).select((-F.col("top.id")).alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    pairs = work.save(tied, "pairs-0")
+    tied = work.save(shared.join(pivots, ["band", "bucket"]).select("band", "bucket", "id", "n", "key", (-F.col("top.id")).alias("pivot")), "tied")
+    pairs = work.save(tied.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
     done = work.save(verify(pairs, texts, k, percent), "verified-0")
+    shared = work.save(tied.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "common"), ["pivot", "id"], "left").withColumn("common", F.coalesce("common", "n")).drop("pivot"), "members")
 
     links, found, all_done, step = later.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")), done.where("linked").select("a", "b"), done, 0
     while True:
         labels = components(links.unionByName(found), work, f"cc-{step}")
-        labelled = shared.join(labels, "id", "left").select("band", "bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+        labelled = shared.join(labels, "id", "left").select("band", "bucket", "id", "n", "key", "common", F.coalesce("component", "id").alias("c"))
         sizes = labelled.groupBy("band", "bucket", "c").agg(F.count("*").alias("own"))
         largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("own", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "bucket", F.col("top.c").alias("top"))
         mixed = work.save(labelled.join(largest, ["band", "bucket"]), f"mixed-{step}")
         alone = _alone(mixed.select(F.col("id").alias("doc_id")).distinct(), texts, k)
         done_both = all_done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = work.save(_open(mixed, alone, percent).join(done_both, ["a", "b"], "left_anti"), f"pairs-{step + 1}")
+        pairs = work.save(_open(mixed, alone, sketched, percent).join(done_both, ["a", "b"], "left_anti"), f"pairs-{step + 1}")
         if not pairs.head(1):
             break
         step += 1
@@ -206,19 +208,22 @@ def _alone(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return single.groupBy("id").agg(F.count("*").alias("alone"))
 
 
-def _open(mixed: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+def _open(mixed: DataFrame, alone: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of members of one bucket in different components that can be similar enough.
 
-    Members of a bucket's largest component are paired only with members outside it.
+    Members of a bucket's largest component are paired only with members outside it. What is alone is known for
+    an id, so it isn't used for ids with several versions.
     """
-    rows = mixed.join(alone, "id", "left").withColumn("p", F.col("n") - F.coalesce("alone", F.lit(0)))
-    bounds = rows.groupBy("band", "bucket").agg(F.min("n").alias("min_n"), F.max("p").alias("max_p"))
-    best = F.least("p", "max_p")
+    single = mixed.groupBy("id").agg(F.min("key").alias("k"), F.max("key").alias("l")).where("k = l").select("id")
+    rows = mixed.join(alone.join(single, "id", "left_semi"), "id", "left").withColumn("e", F.greatest(F.col("n") - F.col("common") - F.coalesce("alone", F.lit(0)), F.lit(0)))
+    bounds = rows.groupBy("band", "bucket").agg(F.min("n").alias("min_n"), F.max("common").alias("max_i"), F.max("e").alias("max_e"))
+    best = F.least("common", "max_i") + F.least("e", "max_e")
     able = rows.join(bounds, ["band", "bucket"]).where(100 * best >= percent * (F.col("n") + F.greatest(F.col("min_n") - best, F.lit(0))))
-    able = able.select("band", "bucket", "id", "n", "p", "c", "top")
-    outside = able.where("c <> top").select("band", "bucket", *(F.col(x).alias(f"{x}_x") for x in ("id", "n", "p", "c")))
-    both = F.least("p", "p_x", "n", "n_x")
+    bands = sketched.where("key IS NOT NULL").join(able.select("key").distinct(), "key", "left_semi").select("key", "bands").dropDuplicates(["key"])
+    able = able.join(bands, "key").select("band", "bucket", "id", "n", "common", "e", "c", "top", "bands")
+    outside = able.where("c <> top").select(*(F.col(x).alias(f"{x}_x") for x in ("band", "bucket", "id", "n", "common", "e", "c", "bands")))
+    both = F.least(F.least("common", "common_x") + F.least("e", "e_x"), "n", "n_x")
     meets = (F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("top")) | (F.col("id_x") < F.col("id"))) & (100 * both >= percent * (F.col("n") + F.col("n_x") - both))
-    other = able.select(F.col("band").alias("band_y"), F.col("bucket").alias("bucket_y"), "id", "n", "p", "c", "top")
-    joined = outside.join(other, (F.col("band") == F.col("band_y")) & (F.col("bucket") == F.col("bucket_y")) & meets)
+    first = F.array_position(F.zip_with("bands", "bands_x", lambda u, v: u == v), True) == F.col("band") + 1
+    joined = outside.join(able, (F.col("band") == F.col("band_x")) & (F.col("bucket") == F.col("bucket_x")) & meets & first)
     return joined.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
