@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import knn, neardup, packing, quality, simple8b
+from quarry.llm import decontam, knn, licenses, lmscore, neardup, packing, pii, quality, simple8b
+from quarry.llm.common import small
 
 #: Where the installed public tokenizers are; their files stay there.
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,14 +34,34 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.
     return quality.train(docs, labels)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as good are the target, all documents the background."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("is_target", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(small(good, 2_000_000), "doc_id", "left")
+    return lmscore.cross_entropy_difference(docs)
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -56,7 +77,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op5_knn_join, op8_near_duplicates, op9_quality, op10_token_ids)}
+    return {f.__name__: f for f in (op1_lm_score, op2_pack, op3_pii, op5_knn_join, op6_licenses, op7_decontaminate, op8_near_duplicates, op9_quality, op10_token_ids)}
 
 
 SHINGLES = """
