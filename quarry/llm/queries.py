@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, knn, licenses, lmscore, neardup, packing, pii, quality, simple8b
+from quarry.llm import decontam, knn, licenses, lmscore, neardup, packing, pii, quality, simple8b, suffix
 from quarry.llm.common import small
 
 #: Where the installed public tokenizers are; their files stay there.
@@ -49,6 +49,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -77,7 +81,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_pack, op3_pii, op5_knn_join, op6_licenses, op7_decontaminate, op8_near_duplicates, op9_quality, op10_token_ids)}
+    return {f.__name__: f for f in (op1_lm_score, op2_pack, op3_pii, op4_substring_dedup, op5_knn_join, op6_licenses, op7_decontaminate, op8_near_duplicates, op9_quality, op10_token_ids)}
 
 
 SHINGLES = """
