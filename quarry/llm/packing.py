@@ -21,28 +21,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Workspace, prepare
-from quarry.llm.tokens import encoder
+from quarry.llm.tokens import with_end
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def _cut(path: str, end: int, capacity: int, with_ids: bool):
-    tail = np.array([end], "<u4").tobytes()
     schema = PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for key, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist()), strict=True):
-                ids += tail
-                n, at, piece = len(ids) // 4, 0, 0
-                while at < n:
-                    to = at + ((n - at) % capacity or capacity)
-                    part = ids[4 * at : 4 * to]
-                    for column, value in zip(out, (key, piece, at, to - at, zlib.crc32(part), part), strict=False):
-                        column.append(value)
-                    at, piece = to, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+            flat, sizes = with_end(batch.column(1), path, end)
+            raw = flat.tobytes()
+            count = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            rest = np.where(sizes % capacity, sizes % capacity, capacity)[row]  # of the first piece
+            start = np.where(piece > 0, rest + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, rest)
+            at = 4 * (start + (np.cumsum(sizes) - sizes)[row])
+            parts = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, parts)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.binary())] * with_ids, schema=schema)
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Workspace
-from quarry.llm.tokens import encoder
+from quarry.llm.tokens import with_end
 
 MAGIC = b"QS8B0001"
 BLOCK = 4096
@@ -150,7 +150,6 @@ def filesystem(uri: str):
 
 
 def _write(path: str, end: int, folder: str, segment_ids: int, file_bytes: int):
-    tail = np.array([end], "<u4").tobytes()
     schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("file", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64())])
 
     def run(batches):
@@ -168,7 +167,7 @@ def _write(path: str, end: int, folder: str, segment_ids: int, file_bytes: int):
                     name = f"{place}/ids-{part:06d}-{len(made):06d}-{own}.s8b"
                     out, totals, size = store.open_output_stream(name), [0, 0], 0
                     made.append([name, part, len(made), 0, 0])
-                segment = pack_segment(keys, lengths, np.frombuffer(b"".join(held), "<u4"))
+                segment = pack_segment(keys, lengths, np.concatenate(held))
                 out.write(segment)
                 size += len(segment)
                 made[-1][3] += len(keys)
@@ -176,12 +175,17 @@ def _write(path: str, end: int, folder: str, segment_ids: int, file_bytes: int):
                 keys, lengths, held, waiting = [], [], [], 0
 
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist()), strict=True):
-                ids += tail
-                keys.append(key)
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                waiting += len(ids) // 4
+            flat, sizes = with_end(batch.column(1), path, end)
+            ids, ends, at = batch.column(0).to_pylist(), np.cumsum(sizes), 0
+            while at < len(sizes):  # as many documents as the segment still takes
+                before = int(ends[at - 1]) if at else 0
+                to = max(at, int(np.searchsorted(ends, before + segment_ids - waiting))) + 1
+                to = min(to, len(sizes))
+                keys += ids[at:to]
+                lengths += sizes[at:to].tolist()
+                held.append(flat[before : ends[to - 1]])
+                waiting += int(ends[to - 1]) - before
+                at = to
                 if waiting >= segment_ids:
                     flush()
                     if size >= file_bytes:

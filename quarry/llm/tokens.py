@@ -1,113 +1,205 @@
-"""Token ids of whole texts by the tokenizers library, with a memo of the words between spaces.
+"""Token ids of whole texts by the tokenizers library, with a memo of the words between spaces and line ends.
 
-A byte-level BPE tokenizer cuts its text before it merges, and no piece goes on over a space that stands
-between two other characters, nor over a single line end. So a text without other white space can be encoded
-word by word, and a word met before needs no second encoding. Texts with other white space or with the
-special token's string are encoded as one.
+A byte-level BPE tokenizer cuts its text before it merges, and no piece goes on over a space that stands between
+two other characters, nor over a single line end. So a text without other white space is encoded word by word,
+and a word met before needs no second encoding: words are found and looked up by 64-bit hash for a whole slice of
+texts at once, new ones are encoded together. Texts with other white space, two of them in a row, a space at an
+end, or the special token's string are encoded as one.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+
+from quarry.llm import textscan
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-_ODD = re.compile(r"\s|<\|")
-_MORE = re.compile(r"[^\S ]|<\||\x00")
-_START = "\x00"
+_SPACE, _LINE = 32, 10
+_BAD = np.zeros(256, np.bool_)
+_BAD[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = True
 
 
-class Encoder:
-    """encode() returns the ids of each text as little-endian unsigned 32-bit integers.
+class _Table:
+    """Sorted hashes with the place and number of their ids in a pool."""
+
+    def __init__(self):
+        self.keys, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        row = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[row] == keys, row, -1)
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        at = np.cumsum(sizes) - sizes + len(self.pool)
+        keys, at, sizes = np.append(self.keys, keys), np.append(self.at, at), np.append(self.size, sizes.astype(np.int32))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.size = keys[order], at[order], sizes[order]
+        self.pool = np.append(self.pool, ids.astype(np.uint32))
 
-    words: the memo's bound, of two generations each. What the older one has is kept if it is met again; ids
-    don't depend on it.
-    """
 
-    def __init__(self, path: str, words: int = 400_000):
+class Encoder:
+    """Ids of texts. words: about how many the memo holds in each of its two generations; ids don't depend on it."""
+
+    def __init__(self, path: str, words: int = 1_500_000, recent: int = 150_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._bound, self._memo, self._older = words, {}, {}
+        self._bound, self._recent_bound = words, recent
+        self._main, self._recent = _Table(), _Table()
         pre = self._tokenizer.pre_tokenizer
         self._plain = self._tokenizer.normalizer is None and pre is not None and "ByteLevel(add_prefix_space=False" in repr(pre)
-        marker = self._tokenizer.id_to_token
-        self._spaced = np.array([(marker(i) or "").startswith("Ġ") for i in range(self._tokenizer.get_vocab_size())])
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        memo, older = self._memo, self._older
-        known = pieces & older.keys()
-        memo.update((x, older[x]) for x in known)
-        pieces -= known
-        after_space, first = [], []
-        for x in pieces:
-            if not x or x == _START:
-                memo[x] = None
-            elif x == "\n":
-                memo[x] = self._whole(x)
-            elif x[0] == _START:
-                first.append(x)
-            else:
-                after_space.append(x)
-        self._joined(after_space, " ", lambda x: x)
-        self._joined(first, "\n", lambda x: x[1:])
-
-    def _joined(self, pieces: list[str], mark: str, bare) -> None:
-        """Encode many words as one text; each begins where a token of the mark does."""
-        memo, keep = self._memo, mark == " "
-        for at in range(0, len(pieces), 4000):
-            part = pieces[at : at + 4000]
-            text = [bare(x) for x in part]
-            if _MORE.search(" ".join(text)):
-                memo.update((x, None) for x, y in zip(part, text, strict=True) if _ODD.search(y) or _START in y)
-                part = [x for x in part if x not in memo]
-                text = [bare(x) for x in part]
-            if not part:
-                continue
-            ids = np.array(self._tokenizer.encode(mark + mark.join(text), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self._spaced[ids] if keep else ids == np.frombuffer(self._memo_of("\n"), "<u4")[0])
-            if len(starts) == len(part):
-                raw, to = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
-                begin = (4 * starts if keep else 4 * starts + 4).tolist()
-                memo.update(zip(part, map(raw.__getitem__, map(slice, begin, to)), strict=True))
+        self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self._tokenizer.get_vocab_size())])
+        line = self._whole("\n")
+        self._line = int(line[0]) if len(line) == 1 else -1
+        self._plain &= self._line >= 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _joined(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids) of words that each stand after the mark; a space belongs to the word, a line end doesn't."""
+        sizes, out = [], []
+        for at in range(0, len(words), 400):
+            part = words[at : at + 400]
+            ids = np.array(self._tokenizer.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            starts = self._spaced[ids] if mark == " " else ids == self._line
+            place = np.flatnonzero(starts)
+            if len(place) == len(part) and place[0] == 0:
+                size = np.diff(np.append(place, len(ids)))
+                if mark != " ":
+                    ids, size = ids[~starts], size - 1
+                sizes.append(size)
+                out.append(ids)
             else:
-                memo.update((x, self._whole((mark if keep else "") + y)) for x, y in zip(part, text, strict=True))
-
-    def _memo_of(self, text: str) -> bytes:
-        if text not in self._memo:
-            self._memo[text] = self._whole(text)
-        return self._memo[text]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self._plain:
-            return [self._whole(x or "") for x in texts]
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):  # a few texts at a time, for the lists of words
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to] or "") < 1 << 20):
-                size, to = size + len(texts[to] or ""), to + 1
-            cut = [(_START + x).replace("\n", " \n " + _START).split(" ") if x else [] for x in texts[at:to]]
-            new = set().union(*cut)
-            new.difference_update(self._memo)
-            if new:
-                if len(self._memo) + len(new) > self._bound:
-                    self._memo, self._older = {}, self._memo
-                    new = set().union(*cut)
-                self._learn(new)
-            get = self._memo.__getitem__
-            for words, text in zip(cut, texts[at:to], strict=True):
-                try:
-                    out.append(b"".join(map(get, words)))
-                except TypeError:
-                    out.append(self._whole(text))
-            at = to
-        return out
+                own = [self._whole((mark if mark == " " else "") + w) for w in part]
+                sizes.append(np.array([len(x) for x in own]))
+                out += own
+        return np.concatenate(sizes), np.concatenate(out)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes], spaced: np.ndarray) -> None:
+        if len(self._main.keys) + len(self._recent.keys) > self._bound and len(self._recent.keys):
+            self._main, self._recent = self._recent, _Table()
+        elif len(self._recent.keys) > self._recent_bound:
+            table = self._recent
+            ids = table.pool[np.repeat(table.at - (np.cumsum(table.size) - table.size), table.size) + np.arange(table.size.sum())]
+            self._main.add(table.keys, table.size, ids)
+            self._recent = _Table()
+        for mark, some in ((" ", np.flatnonzero(spaced)), ("\n", np.flatnonzero(~spaced))):
+            if len(some):
+                self._recent.add(keys[some], *self._joined([words[i].decode() for i in some], mark))
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that can't be encoded word by word."""
+        n = len(data)
+        odd = np.zeros(len(offsets) - 1, np.bool_)
+        if not n:
+            return odd
+        white = (data == _SPACE) | (data == _LINE)
+        bad = _BAD[data]
+        after, third = np.append(data[1:], np.uint8(0)), np.append(data[2:], np.zeros(min(2, n), np.uint8))
+        bad |= white & np.append(white[1:], False)
+        bad |= (data == 60) & (after == 124)
+        # white space beyond ASCII, in UTF-8
+        high = data >= 0xC2
+        if high.any():
+            bad |= (data == 0xC2) & ((after == 0x85) | (after == 0xA0)) | (data == 0xE1) & (after == 0x9A) & (third == 0x80)
+            bad |= (data == 0xE2) & ((after == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)) | (after == 0x81) & (third == 0x9F))
+            bad |= (data == 0xE3) & (after == 0x80) & (third == 0x80)
+        odd[np.unique(np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1)] = True
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        odd[some] |= (data[offsets[some]] == _SPACE) | (data[offsets[some + 1] - 1] == _SPACE)
+        return odd
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        odd = self._odd(data, offsets) if self._plain else np.diff(offsets) > 0
+        if odd.any():  # one by one around the odd rows
+            flat, sizes, at = [], [], 0
+            for i in [*np.flatnonzero(odd).tolist(), len(odd)]:
+                if i > at:
+                    ids, n = self._words(data[offsets[at] : offsets[i]], offsets[at : i + 1] - offsets[at])
+                    flat.append(ids)
+                    sizes.append(n)
+                if i < len(odd):
+                    flat.append(self._whole(data[offsets[i] : offsets[i + 1]].tobytes().decode()))
+                    sizes.append(np.array([len(flat[-1])]))
+                at = i + 1
+            return np.concatenate(flat), np.concatenate(sizes)
+        return self._words(data, offsets)
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        line = data == _LINE
+        inside = data != _SPACE
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | line[1:] | line[:-1]
+        cut = offsets[1:-1]
+        cut = cut[(cut > 0) & (cut < len(data))]
+        begins[cut] = True
+        ends = inside.copy()
+        ends[:-1] &= ~inside[1:] | line[1:] | line[:-1]
+        ends[cut - 1] = True
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        spaced = np.zeros(len(start), np.bool_)
+        spaced[start > 0] = ~inside[start[start > 0] - 1]
+        p = textscan.prefix(data)
+        h = textscan.mix(textscan.substring(p, start, end) * np.uint64(2) + ((end - start).astype(np.uint64) << np.uint64(1)) + spaced)
+        coded = pa.array(h).dictionary_encode()
+        keys, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(keys)  # sorted keys are found faster
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        keys, place = keys[order], rank[place]
+        first = np.zeros(len(keys), np.int64)
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        main, recent = self._main.find(keys), self._recent.find(keys)
+        new = np.flatnonzero((main < 0) & (recent < 0))
+        if len(new):
+            body, a, b = data.tobytes(), start[first[new]].tolist(), end[first[new]].tolist()
+            own = [body[x:y] for x, y in zip(a, b, strict=True)]
+            lines = np.array([w == b"\n" for w in own])
+            if lines.any():
+                self._recent.add(keys[new[lines]], np.ones(int(lines.sum()), np.int64), np.full(int(lines.sum()), self._line, np.uint32))
+            some = np.flatnonzero(~lines)
+            if len(some):
+                self._learn(keys[new[some]], [own[i] for i in some], spaced[first[new[some]]])
+            main, recent = self._main.find(keys), self._recent.find(keys)
+            lost = np.flatnonzero((main < 0) & (recent < 0))
+            if len(lost):  # a generation left meanwhile
+                a, b = start[first[lost]].tolist(), end[first[lost]].tolist()
+                for i, x, y in zip(lost.tolist(), a, b, strict=True):
+                    ids = self._whole((" " if spaced[first[i]] else "") + body[x:y].decode())
+                    self._recent.add(keys[i : i + 1], np.array([len(ids)]), ids)
+                recent = self._recent.find(keys)
+        old = recent < 0
+        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[old], size[old] = self._main.at[main[old]], self._main.size[main[old]]
+        at[~old], size[~old] = self._recent.at[recent[~old]], self._recent.size[recent[~old]]
+        # the slice's own pool, in the order of its dictionary
+        begin = np.cumsum(size) - size
+        own_pool = np.zeros(size.sum(), np.uint32)
+        for rows, table in ((np.flatnonzero(old), self._main), (np.flatnonzero(~old), self._recent)):
+            n = size[rows]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own_pool[np.repeat(begin[rows], n) + step] = table.pool[np.repeat(at[rows], n) + step]
+        n = size[place]
+        ends_at = np.cumsum(n)
+        flat = own_pool[np.repeat(begin[place] - (ends_at - n), n) + np.arange(ends_at[-1] if len(n) else 0)]
+        total = np.append(0, ends_at)[np.searchsorted(start, offsets)]
+        return flat, np.diff(total)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, as unsigned 32-bit integers, and how many each text has. Null texts are empty."""
+        parts = [self._slice(data, offsets) for _, data, offsets in textscan.slices(texts, texts, 2 << 20)]
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -118,3 +210,10 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def with_end(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """As encode(), with an end id after each text."""
+    ids, sizes = encoder(path).encode(texts)
+    last = np.cumsum(sizes)
+    return np.insert(ids, last, end).astype("<u4"), sizes + 1
