@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import textscan
 from quarry.llm.common import Workspace, prepare
@@ -198,5 +199,5 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, bits: int =
     plain = docs.toDF(*names)
     text = f"c{[c.lower() for c in docs.columns].index('text')}"
     rows = plain.select(F.lit(0).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"), *names)
-    kept = rows.mapInArrow(_apply(model, bits), rows.schema.add("score", "double")).where(F.col("score") >= threshold)
+    kept = rows.mapInArrow(_apply(model, bits), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])).where(F.col("score") >= threshold)
     return kept.select(*names).toDF(*docs.columns)

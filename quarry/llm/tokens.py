@@ -44,9 +44,9 @@ class _Table:
 
 
 class Encoder:
-    """Ids of texts. words: about how many the memo holds in each of its two generations; ids don't depend on it."""
+    """Ids of texts. words: about how many the memo holds before it starts anew; ids don't depend on it."""
 
-    def __init__(self, path: str, words: int = 1_500_000, recent: int = 150_000):
+    def __init__(self, path: str, words: int = 3_000_000, recent: int = 150_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -82,14 +82,17 @@ class Encoder:
                 out += own
         return np.concatenate(sizes), np.concatenate(out)
 
-    def _learn(self, keys: np.ndarray, words: list[bytes], spaced: np.ndarray) -> None:
-        if len(self._main.keys) + len(self._recent.keys) > self._bound and len(self._recent.keys):
+    def _tidy(self) -> None:
+        """Move what is recent to the main table; start anew with what is recent when both are full."""
+        if len(self._main.keys) + len(self._recent.keys) > self._bound:
             self._main, self._recent = self._recent, _Table()
         elif len(self._recent.keys) > self._recent_bound:
             table = self._recent
             ids = table.pool[np.repeat(table.at - (np.cumsum(table.size) - table.size), table.size) + np.arange(table.size.sum())]
             self._main.add(table.keys, table.size, ids)
             self._recent = _Table()
+
+    def _learn(self, keys: np.ndarray, words: list[bytes], spaced: np.ndarray) -> None:
         for mark, some in ((" ", np.flatnonzero(spaced)), ("\n", np.flatnonzero(~spaced))):
             if len(some):
                 self._recent.add(keys[some], *self._joined([words[i].decode() for i in some], mark))
@@ -158,6 +161,7 @@ class Encoder:
         keys, place = keys[order], rank[place]
         first = np.zeros(len(keys), np.int64)
         first[place[::-1]] = np.arange(len(place))[::-1]
+        self._tidy()
         main, recent = self._main.find(keys), self._recent.find(keys)
         new = np.flatnonzero((main < 0) & (recent < 0))
         if len(new):
@@ -170,13 +174,6 @@ class Encoder:
             if len(some):
                 self._learn(keys[new[some]], [own[i] for i in some], spaced[first[new[some]]])
             main, recent = self._main.find(keys), self._recent.find(keys)
-            lost = np.flatnonzero((main < 0) & (recent < 0))
-            if len(lost):  # a generation left meanwhile
-                a, b = start[first[lost]].tolist(), end[first[lost]].tolist()
-                for i, x, y in zip(lost.tolist(), a, b, strict=True):
-                    ids = self._whole((" " if spaced[first[i]] else "") + body[x:y].decode())
-                    self._recent.add(keys[i : i + 1], np.array([len(ids)]), ids)
-                recent = self._recent.find(keys)
         old = recent < 0
         at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at[old], size[old] = self._main.at[main[old]], self._main.size[main[old]]
