@@ -14,6 +14,10 @@ REPO = str(Path(__file__).resolve().parents[2])
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/quarry"
 
 
+#: Python workers give large blocks back to the system when they are freed.
+MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "8388608"}
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers find this package, and keep their Arrow batches small.
 
@@ -22,7 +26,8 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    env |= {k: v for k, v in MEMORY.items() if k not in env}
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -46,7 +46,7 @@ class _Table:
 class Encoder:
     """Ids of texts. words: about how many the memo holds before it starts anew; ids don't depend on it."""
 
-    def __init__(self, path: str, words: int = 3_000_000, recent: int = 150_000):
+    def __init__(self, path: str, words: int = 2_000_000, recent: int = 100_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -193,7 +193,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, as unsigned 32-bit integers, and how many each text has. Null texts are empty."""
-        parts = [self._slice(data, offsets) for _, data, offsets in textscan.slices(texts, texts, 2 << 20)]
+        parts = [self._slice(data, offsets) for _, data, offsets in textscan.slices(texts, texts)]
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
