@@ -22,11 +22,15 @@ def postings(chunks: DataFrame) -> DataFrame:
     # each field is tokenised once, before the rows are unfolded
     source = chunks.select(F.col("Id").alias("ChunkId"), "ClassName", "MemberName", "Signature", "NamespaceName", X.file_stem(F.col("FilePath")).alias("stem"), "Content")
     terms = source.select("ChunkId", *(X.tokenize(F.col(f)).alias(f) for f, _ in FIELDS), F.slice(X.tokenize(F.col("Content")), 1, CONTENT_TERMS).alias("body"), F.slice(X.identifier_parts(F.col("Content")), 1, PART_TERMS).alias("parts"))
-    named = [F.transform(F.col(f), lambda t, w=w: F.struct(t.alias("Term"), F.lit(w).alias("Weight"))) for f, w in FIELDS]
+
+    def weighted(items, weight: float):
+        return F.transform(items, lambda t: F.struct(t.alias("Term"), F.lit(weight).alias("Weight")))
+
+    named = [weighted(F.col(f), w) for f, w in FIELDS]
     fields = terms.withColumn("named", F.array_distinct(F.flatten(F.array(*(F.col(f) for f, _ in FIELDS)))))
     lifted = F.array_except(F.array_intersect("body", "parts"), "named")
     body = F.transform("body", lambda t: F.struct(t.alias("Term"), F.when(F.array_contains("lifted", t), F.lit(PART_WEIGHT)).otherwise(F.lit(CONTENT_WEIGHT)).alias("Weight")))
-    alone = F.transform(F.array_except("parts", F.array_union("named", "body")), lambda t: F.struct(t.alias("Term"), F.lit(PART_WEIGHT).alias("Weight")))
+    alone = weighted(F.array_except("parts", F.array_union("named", "body")), PART_WEIGHT)
     return fields.withColumn("lifted", lifted).select("ChunkId", F.explode(F.concat(*named, body, alone)).alias("p")).select("ChunkId", "p.Term", "p.Weight")
 
 

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 
 #: Default synonyms.
-SYNONYMS = {"db": ["database", "sql"], "http": ["web", "api", "rest"], "async": ["await", "task"], "sensor": ["device", "hardware"], "file": ["document", "path"]}
+SYNONYMS = {
+    "db": ["database", "sql", "entity framework"],
+    "http": ["web", "api", "rest", "endpoint"],
+    "async": ["asynchronous", "task", "background"],
+    "sensor": ["ultrasonic", "distance", "color", "gyro"],
+    "file": ["io", "read", "write", "stream"],
+}
 
 
 def names(chunks: DataFrame) -> DataFrame:
@@ -18,13 +24,14 @@ def names(chunks: DataFrame) -> DataFrame:
 
 def distance(query: str, term: Column) -> Column:
     """The least edit distance of the query to the name or to one of its camel pieces, case ignored."""
-    pieces = F.filter(F.flatten(F.transform(F.split(term, r"[_.]"), X.camel_boundary)), lambda p: p != "")
-    every = F.concat(F.array(F.lower(term)), pieces)
+    every = F.concat(F.array(F.lower(F.trim(term))), X.camel_boundary(F.trim(term)))
     return F.array_min(F.transform(every, lambda p: F.levenshtein(p, F.lit(query.lower()))))
 
 
 def suggest(chunks: DataFrame, query: str, limit: int = 3) -> DataFrame:
     """term, dist, len_diff of the nearest names; the query itself is none."""
+    if not query.strip():
+        return names(chunks).select("term", F.lit(0).alias("dist"), F.lit(0).alias("len_diff")).where(F.lit(False))
     near = names(chunks).where(F.lower("term") != query.lower()).select("term", distance(query, F.col("term")).alias("dist"), F.abs(F.length("term") - len(query)).alias("len_diff"))
     return near.where(F.col("dist") <= max(2, len(query) // 3)).orderBy("dist", "len_diff", "term").limit(limit)
 
