@@ -99,7 +99,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, cost: floa
     for i in train:
         counts[labels[i], rows[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    x = [ratio[rows[i]] / max(1.0, len(rows[i])) ** 0.5 for i in train]
+    at = np.append(0, np.cumsum([len(rows[i]) for i in train]))
+    flat = np.empty(at[-1])  # one block, which is given back when the fit is over
+    x = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+    for v, i in zip(x, train, strict=True):
+        v[:] = ratio[rows[i]] / max(1.0, len(rows[i])) ** 0.5
     sign = 2.0 * labels[train] - 1
     lift = [1 / (2 * cost * len(train) / (2 * (sign == s).sum())) for s in (-1, 1)]  # squared hinge; classes weigh alike
     diagonal = np.where(sign > 0, lift[1], lift[0])
@@ -160,10 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, bits: int =
         chosen += [(r.doc_id, c) for r in known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    got = texts.mapInArrow(_collect(bits), "doc_id long, found binary").collect()
+    got = texts.mapInArrow(_collect(bits), "doc_id long, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
     label = dict(chosen)
-    got.sort(key=lambda r: (r.doc_id, r.found))
-    return fit([np.frombuffer(r.found, "<u4").astype(np.int64) for r in got], np.array([label[r.doc_id] for r in got]), bits)
+    rows = [np.frombuffer(x.as_buffer(), "<u4") for x in got["found"]]
+    return fit(rows, np.array([label[k] for k in got["doc_id"].to_pylist()]), bits)
 
 
 def _apply(model: Model, bits: int):
