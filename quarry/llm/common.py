@@ -72,6 +72,21 @@ class Workspace:
         return self.path(name)
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system, after work on large arrays."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows; beyond, Spark chooses the join."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).head(rows + 1)) <= rows else df

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import textscan
-from quarry.llm.common import Workspace, prepare
+from quarry.llm.common import give_back, prepare
 
 BITS = 17
 _SHAPE = np.zeros(256, np.uint64)
@@ -167,7 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, bits: int =
     got = texts.mapInArrow(_collect(bits), "doc_id long, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
     label = dict(chosen)
     rows = [np.frombuffer(x.as_buffer(), "<u4") for x in got["found"]]
-    return fit(rows, np.array([label[k] for k in got["doc_id"].to_pylist()]), bits)
+    model = fit(rows, np.array([label[k] for k in got["doc_id"].to_pylist()]), bits)
+    del rows, got
+    give_back()
+    return model
 
 
 def _apply(model: Model, bits: int):
