@@ -72,8 +72,11 @@ class Workspace:
         return self.path(name)
 
 
-def give_back() -> None:
-    """Return this process's free memory to the system, after work on large arrays."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return this process's free memory to the system, after work on large arrays; with a session, its JVM's too.
+
+    The JVM's collection also lets Spark remove broadcasts and shuffle files of steps that are over.
+    """
     import ctypes
     import gc
 
@@ -85,6 +88,8 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # another C library
         pass
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

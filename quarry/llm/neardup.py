@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
-from quarry.llm.common import Workspace, components, small
+from quarry.llm.common import Workspace, components, give_back, small
 
 FULL = np.uint64(2**64 - 1)
 LOW = np.uint64(2**48 - 1)
@@ -166,11 +166,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     tied = work.save(shared.join(pivots, ["band", "bucket"]).select("band", "bucket", "id", "n", "key", (-F.col("top.id")).alias("pivot")), "tied")
     pairs = work.save(tied.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
     done = work.save(verify(pairs, texts, k, percent), "verified-0")
+    give_back(spark)
     shared = work.save(tied.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "common"), ["pivot", "id"], "left").withColumn("common", F.coalesce("common", "n")).drop("pivot"), "members")
 
     links, found, all_done, step = later.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")), done.where("linked").select("a", "b"), done, 0
     while True:
         labels = components(links.unionByName(found), work, f"cc-{step}")
+        give_back(spark)
         labelled = shared.join(labels, "id", "left").select("band", "bucket", "id", "n", "key", "common", F.coalesce("component", "id").alias("c"))
         sizes = labelled.groupBy("band", "bucket", "c").agg(F.count("*").alias("own"))
         largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("own", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "bucket", F.col("top.c").alias("top"))
