@@ -77,9 +77,10 @@ def boost_content(content: Column, cls: Column, member: Column, controller: Colu
     return F.concat(content, F.concat_ws("\n", *lines, *marks), F.lit("\n"))
 
 
-def preview(text: Column, limit: int) -> Column:
-    """One line, without documentation slashes, cut at limit characters."""
-    one = F.trim(F.regexp_replace(F.regexp_replace(text, r"\r?\n", " "), "///", ""))
+def preview(text: Column, limit: int, documentation: bool = False) -> Column:
+    """One line, cut at limit characters; documentation loses its slashes."""
+    one = F.regexp_replace(F.regexp_replace(text, "\n", " "), "\r", "")
+    one = F.trim(F.replace(one, F.lit("///"), F.lit(""))) if documentation else one
     return F.when(F.length(one) > limit, F.concat(F.substring(one, 1, limit), F.lit("..."))).otherwise(one)
 
 
