@@ -11,6 +11,8 @@ from quarry.functions import text as X
 from quarry.functions import vector as V
 from quarry.operators import delta, graph, hybrid, keyword, suggest, threshold
 from quarry.schemas import SearchFilter
+from quarry.sources import files
+from quarry.streaming import debounce
 
 CHUNKS = """
 SELECT CAST(d.doc_id AS STRING) AS Id,
@@ -124,6 +126,29 @@ def _gate(s: SparkSession, d: str) -> DataFrame:
     return _ranked(s, d).agg(F.round(F.max("hybrid"), 6).alias("best"), (F.max("hybrid") >= 0.30).alias("suggests"))
 
 
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    """A source file for each document: a class with a field, a property and a method."""
+    code = "namespace %s\n{\n    public class %s\n    {\n        private int _count;\n        public string Title { get; set; }\n        public string %s(int id)\n        {\n            return Load(id);\n        }\n    }\n}\n"
+    return dealt(chunks(s, d).select("FilePath", F.format_string(code, "NamespaceName", "ClassName", "MemberName").alias("text")))
+
+
+def _members(s: SparkSession, d: str) -> DataFrame:
+    found = files.members(_sources(s, d))
+    return found.select("FilePath", "NamespaceName", "ClassName", "MemberName", "MemberType", "Signature", "StartLine", "EndLine", "IsService", F.array_join("CallsTo", ",").alias("calls"))
+
+
+def _embedded(s: SparkSession, d: str) -> DataFrame:
+    texts = dealt(chunks(s, d).select("Id", "Content", "Embedding"))
+    norm = F.sqrt(F.aggregate("Embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return files.embed(texts, files.HashingEmbedder).select("Id", F.size("Embedding").cast("long").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """The table read as a stream: runs of a user's events that 30 minutes of silence followed."""
+    events = s.readStream.schema(_table(s, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    return debounce.drain(debounce.debounced(events, "user_id", "ts", "30 minutes"), debounce.work_folder(s))
+
+
 _JSON = {"memberName": "MemberName", "className": "ClassName", "namespaceName": "NamespaceName", "memberType": "MemberType", "filePath": "FilePath", "startLine": "StartLine", "endLine": "EndLine", "signature": "Signature"}
 
 
@@ -131,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     doc = {
         "chunk_scan": lambda s, d: chunks(s, d).drop("Embedding"),
         "content_hash_map": lambda s, d: _hashed(s, d).select("Id", "ContentHash"),
+        "content_hash": lambda s, d: chunks(s, d).select("Id", X.content_hash(F.col("Documentation")).alias("hash")),
         "embedded_scan": lambda s, d: hybrid.embedded(chunks(s, d)).select("Id", F.size("Embedding").cast("long").alias("dim")),
         "distinct_files": lambda s, d: chunks(s, d).select("FilePath").distinct(),
         "chunks_per_file": lambda s, d: chunks(s, d).groupBy("NamespaceName").agg(F.count("*").alias("n")),
@@ -149,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "camel_split_all": lambda s, d: chunks(s, d).select("Id", F.array_join(X.camel_all(F.col("ClassName")), "|").alias("pieces")),
         "camel_split_boundary": lambda s, d: chunks(s, d).select("Id", F.array_join(X.camel_boundary(F.col("ClassName")), "|").alias("pieces")),
         "keyword_postings": lambda s, d: keyword.postings(dealt(chunks(s, d))).groupBy("ChunkId", "Term").agg(F.round(F.sum("Weight"), 6).alias("weight")),
+        "extract_terms": lambda s, d: keyword.postings(dealt(chunks(s, d))),
         "keyword_topk": lambda s, d: r6(_kw(s, d), "raw"),
         "keyword_normalized": lambda s, d: r6(keyword.keyword_scores(_kw(s, d)), "keyword"),
         "cosine_topk": lambda s, d: r6(hybrid.cosine_topk(chunks(s, d), query_vector(s, d), 20), "semantic"),
@@ -177,6 +204,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "content_boost": lambda s, d: chunks(s, d).select("Id", X.boost_content(F.col("Signature"), F.col("ClassName"), F.col("MemberName"), F.col("IsController"), F.col("IsService"), F.col("IsMiddleware")).alias("boosted")),
         "build_content": lambda s, d: chunks(s, d).select("Id", X.build_content(F.col("Documentation"), F.col("Signature"), F.lit(" \n")).alias("built")),
         "debounce_events": lambda s, d: delta.debounce(_table(s, d, "events"), "user_id", "ts", "30 minutes"),
+        "watch_stream": _stream,
+        "parse_source_members": _members,
+        "embed_batch": _embedded,
         "result_json": lambda s, d: _ranked(s, d).limit(5).select("Id", F.to_json(F.struct(*(F.col(v).alias(k) for k, v in _JSON.items()), F.round("hybrid", 6).alias("score"))).alias("json")),
         "result_quiet": lambda s, d: _ranked(s, d).limit(1).select(F.format_string("%s — %s:%d (score: %.3f)", "MemberName", "FilePath", "StartLine", "hybrid").alias("line")),
         "result_preview": lambda s, d: chunks(s, d).select("Id", X.preview(F.col("Documentation"), 100, True).alias("doc"), X.preview(F.col("Content"), 200).alias("content")),
@@ -235,9 +265,16 @@ def oracle_sql() -> dict[str, str]:
     syn = {k: v for k, v in suggest.SYNONYMS.items()}
     case = "CASE w " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(x) for x in v)}]" for k, v in syn.items()) + " ELSE [] END"
     plain = lambda where: f"{base} SELECT Id FROM c WHERE {where}"
+    runs = "WITH s AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), g AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM s) SELECT user_id, max(ts) AS fired_at, count(*) AS n_events FROM g GROUP BY user_id, run"
+
+    def member(name: str, kind: str, signature: str, start: int, end: int) -> str:
+        return f"{{'n': '{name}', 't': '{kind}', 's': '{signature}', 'a': {start}, 'b': {end}}}"
+
+    shown = ", ".join(f"'{k}': {v}" for k, v in _JSON.items())
     return {
         "chunk_scan": f"{base} SELECT * EXCLUDE (Embedding) FROM c",
         "content_hash_map": f"{stored} SELECT Id, ContentHash FROM x",
+        "content_hash": f"{base} SELECT Id, CASE WHEN Documentation = '' THEN '' ELSE sha256(Documentation) END AS hash FROM c",
         "embedded_scan": f"{base} SELECT Id, CAST(len(Embedding) AS BIGINT) AS dim FROM c WHERE Embedding IS NOT NULL AND len(Embedding) > 0",
         "distinct_files": f"{base} SELECT DISTINCT FilePath FROM c",
         "chunks_per_file": f"{base} SELECT NamespaceName, count(*) AS n FROM c GROUP BY 1",
@@ -256,6 +293,7 @@ def oracle_sql() -> dict[str, str]:
         "camel_split_all": f"{base} SELECT Id, array_to_string({camel.replace('replace(p', 'replace(ClassName')}, '|') AS pieces FROM c",
         "camel_split_boundary": f"{base} SELECT Id, array_to_string(list_transform(list_filter({edge % 'ClassName'}, lambda p: length(p) >= 2), lambda p: lower(p)), '|') AS pieces FROM c",
         "keyword_postings": f"{post} SELECT ChunkId, Term, round(sum(Weight), 6) AS weight FROM p GROUP BY 1, 2",
+        "extract_terms": f"{post} SELECT ChunkId, Term, Weight FROM p",
         "keyword_topk": f"{kw} SELECT Id, round(raw, 6) AS raw, matched FROM kw",
         "keyword_normalized": f"{kn} SELECT Id, round(keyword, 6) AS keyword FROM kn",
         "cosine_topk": f"{base}, {sem(20)} SELECT Id, round(semantic, 6) AS semantic FROM sem",
@@ -283,7 +321,11 @@ def oracle_sql() -> dict[str, str]:
         "needs_split": f"{base} SELECT Id, trim(Content) <> '' AND len(string_split(Content, chr(10))) > 5 AS splits FROM c",
         "content_boost": f"{base} SELECT Id, Signature || '[CLASS_BOOST] ' || ClassName || ' ' || ClassName || chr(10) || '[MEMBER_BOOST] ' || MemberName || ' ' || MemberName || ' ' || MemberName || CASE WHEN IsController THEN chr(10) || '[FRAMEWORK] controller api http' ELSE '' END || CASE WHEN IsService THEN chr(10) || '[FRAMEWORK] service business logic' ELSE '' END || CASE WHEN IsMiddleware THEN chr(10) || '[FRAMEWORK] middleware pipeline' ELSE '' END || chr(10) AS boosted FROM c",
         "build_content": f"{base} SELECT Id, array_to_string(list_filter([regexp_replace(Documentation, '^\\s+|\\s+$', '', 'g'), regexp_replace(Signature, '^\\s+|\\s+$', '', 'g')], lambda x: x <> ''), chr(10) || chr(10)) AS built FROM c",
-        "debounce_events": "WITH s AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), g AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM s) SELECT user_id, max(ts) AS fired_at, count(*) AS n_events FROM g GROUP BY user_id, run",
+        "debounce_events": runs,
+        "watch_stream": f"{runs} HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events)",
+        "parse_source_members": f"{base}, m AS (SELECT c.*, unnest([{member('_count', 'Field', 'private int _count;', 5, 5)}, {member('Title', 'Property', 'public string Title { get; set; }', 6, 6)}, {member('', 'Method', '', 7, 10)}]) AS m FROM c) SELECT FilePath, NamespaceName, ClassName, CASE m.t WHEN 'Method' THEN MemberName ELSE m.n END AS MemberName, m.t AS MemberType, CASE m.t WHEN 'Method' THEN 'public string ' || MemberName || '(int id)' ELSE m.s END AS Signature, CAST(m.a AS INTEGER) AS StartLine, CAST(m.b AS INTEGER) AS EndLine, m.t <> 'Field' AS IsService, CASE m.t WHEN 'Method' THEN 'Load' ELSE '' END AS calls FROM m",
+        "embed_batch": f"{base} SELECT Id, CAST(768 AS BIGINT) AS dim, CAST(1 AS DOUBLE) AS norm FROM c WHERE regexp_matches(Content, '[A-Za-z0-9]')",
         "result_preview": f"{base} SELECT Id, CASE WHEN length(d1) > 100 THEN substr(d1, 1, 100) || '...' ELSE d1 END AS doc, CASE WHEN length(c1) > 200 THEN substr(c1, 1, 200) || '...' ELSE c1 END AS content FROM (SELECT Id, trim(replace(replace(replace(Documentation, chr(10), ' '), chr(13), ''), '///', '')) AS d1, replace(replace(Content, chr(10), ' '), chr(13), '') AS c1 FROM c)",
+        "result_json": f"{ranked} SELECT Id, CAST(to_json({{{shown}, 'score': round(hybrid, 6)}}) AS VARCHAR) AS json FROM (SELECT * FROM k ORDER BY final DESC, Id LIMIT 5)",
         "result_quiet": f"{ranked} SELECT MemberName || ' — ' || FilePath || ':' || StartLine || ' (score: ' || printf('%.3f', hybrid) || ')' AS line FROM k ORDER BY final DESC, Id LIMIT 1",
     }

@@ -11,7 +11,7 @@ from quarry.schemas import ChunkingOptions, SearchFilter, SearchOptions
 from quarry.sources import csharp
 from quarry.sources.files import HashingEmbedder
 from quarry.sources.store import Store
-from quarry.streaming import watch
+from quarry.streaming import debounce, watch
 
 CODE = '''using System;
 namespace Shop.Api
@@ -110,3 +110,16 @@ def test_changes():
     before = {"/a": (1.0, 1), "/b": (1.0, 1)}
     assert watch.changes(before, {"/a": (1.0, 1), "/c": (9.8, 1)}, 10.0) == [("/b", "delete")]
     assert watch.changes(before, {"/a": (2.0, 5), "/c": (9.8, 1)}, 10.4) == [("/a", "upsert"), ("/c", "upsert")]
+
+
+def test_debounce_stream(spark, tmp_path):
+    """Runs fire once newer events show that they were quiet; a second pass goes on from the first."""
+    times = {"a": [0, 10, 500], "b": [5]}
+    rows = [(k, t) for k, v in times.items() for t in v]
+    spark.createDataFrame(rows, "k string, t long").selectExpr("k", "timestamp_seconds(t) AS ts").write.parquet(str(tmp_path / "in" / "1"))
+    stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in" / "*"))
+    root = f"file://{tmp_path}/work"
+    fired = lambda: sorted((r.k, int(r.fired_at.timestamp()), r.n_events) for r in debounce.drain(debounce.debounced(stream, "k", "ts", "60 seconds"), root).collect())
+    assert fired() == [("a", 10, 2), ("b", 5, 1)]
+    spark.createDataFrame([("b", 900)], "k string, t long").selectExpr("k", "timestamp_seconds(t) AS ts").write.parquet(str(tmp_path / "in" / "2"))
+    assert fired() == [("a", 10, 2), ("a", 500, 1), ("b", 5, 1)]
