@@ -3,7 +3,8 @@
 Every byte is removed that a `length`-byte string covers which also starts earlier (smaller doc_id, or same document
 and earlier start). Of each such string the K-byte substring with the smallest hash is its anchor, wherever the
 string occurs, so two equal strings have equal anchors at the same place; about 2 of 60 positions are anchors.
-Anchors that occur once are dropped by sorting. The others carry their surroundings, all that the strings they
+Anchors that occur once are dropped by sorting; those that a batch of documents repeats needn't all meet for that.
+The others carry their surroundings, all that the strings they
 stand for can cover, and equal ones meet. There the suffixes that begin at anchors, and the reversed
 prefixes that end there, are sorted by mergesort: two of them are compared by a binary search for their common
 extension over prefix polynomial hashes, and the extensions of neighbours are verified byte by byte. Neighbours
@@ -60,37 +61,55 @@ def substring_k(p: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(length: int):
-    schema = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("pos", pa.int32())])
+    """Each anchor with a salt that says what is known of it before the shuffle.
+
+    Of anchors that occur again within a batch, one (salt 1) meets those of other batches; the others (2 and more,
+    differing by document) are known to be repeated and are spread evenly. So a frequent anchor sends one row per
+    batch to the task of its hash. Salt 0: the only one in its batch.
+    """
+    schema = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("pos", pa.int32()), ("salt", pa.int32())])
 
     def run(batches):
         for batch in batches:
+            found = []
             for ids, data, offsets in textscan.slices(batch.column(0), batch.column(1)):
                 at, h = anchors(data, offsets, length)
                 row = np.searchsorted(offsets, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids.to_numpy()[row]), pa.array((at - offsets[row]).astype(np.int32))], schema=schema)
+                found.append((h, ids.to_numpy()[row], (at - offsets[row]).astype(np.int32)))
+            if not found:
+                continue
+            h, uid, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, uid, pos = h[order], uid[order], pos[order]
+            first = np.append(True, h[1:] != h[:-1])[: len(h)]
+            spread = (textscan.mix(uid.astype(np.uint64) + pos.astype(np.uint64)) & np.uint64(0x1FFFFFFF)).astype(np.int32)
+            single = first & np.append(first[1:], True)[: len(h)]
+            salt = np.where(single, 0, np.where(first, 1, 2 * spread + 2)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(uid), pa.array(pos), pa.array(salt)], schema=schema)
 
     return run
 
 
 def _repeated():
-    """Of rows ordered by h, those whose h occurs again."""
+    """Of rows ordered by h, those whose h occurs again here or is known to."""
 
     def run(batches):
         last = None  # the row before, if it was the first of its h: (h, row)
         for batch in batches:
-            h = batch.column(0).to_numpy()
+            h, salt = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             if not len(h):
                 continue
             same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), np.bool_)
+            keep = salt > 0
             keep[1:] |= same
             keep[:-1] |= same
             if last is not None and last[0] == h[0]:
                 keep[0] = True
                 if last[1] is not None:
                     yield last[1]
-            yield batch.filter(pa.array(keep))
-            last = (h[-1], None if keep[-1] else batch.slice(len(h) - 1))
+            rows = batch.select([0, 1, 2])
+            yield rows.filter(pa.array(keep))
+            last = (h[-1], None if keep[-1] else rows.slice(len(h) - 1))
 
     return run
 
@@ -317,8 +336,9 @@ def deduplicate(docs: DataFrame, length: int = 100, hot: int = 20_000, with_text
     else:
         texts = texts.withColumn("uid", F.col("doc_id"))
 
-    found = texts.where(F.octet_length("text") >= length).select("uid", "text").mapInArrow(_anchor_rows(length), "h long, uid long, pos int")
-    again = work.save(found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated(), found.schema), "repeated")
+    found = texts.where(F.octet_length("text") >= length).select("uid", "text").mapInArrow(_anchor_rows(length), "h long, uid long, pos int, salt int")
+    dealt_by = F.shiftright("salt", 1)  # 0 for those that have to meet
+    again = work.save(found.repartition("h", dealt_by).sortWithinPartitions("h").mapInArrow(_repeated(), "h long, uid long, pos int"), "repeated")
     some = texts.select("uid", "text").join(small(again.select("uid").distinct(), BROADCAST_IDS), "uid", "left_semi")
     none = F.lit(None)
     rows = some.select("uid", F.lit(-1).alias("pos"), none.cast("long").alias("h"), "text").unionByName(again.select("uid", "pos", "h", none.cast("binary").alias("text")))
