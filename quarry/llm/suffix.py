@@ -123,7 +123,8 @@ def _contexts(length: int):
     def run(batches):
         held, size = None, 0
         for batch in batches:
-            uid, pos, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            # a text's row has no h; a column with nulls would become floats, which don't hold 64 bits
+            uid, pos, h = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
             texts = batch.column(3)
             first = np.flatnonzero(np.asarray(texts.is_valid()))
             cuts = [0, *first.tolist(), len(uid)]

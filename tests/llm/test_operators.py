@@ -98,8 +98,13 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 8])
-def test_substrings(spark, hot):
+@pytest.mark.parametrize("hot,records", [(20_000, "10000"), (8, "10000"), (8, "7")])
+def test_substrings(spark, request, hot, records):
+    """Small batches: some hold only anchors of a long text whose row came before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, records)
+    request.addfinalizer(lambda: spark.conf.set(key, before))
     rng = random.Random(3)
     base = "".join(rng.choice("abcdé \n") for _ in range(500))
     texts = [*ODD, base, base[:200] + "X" + base[200:], base[100:350] * 3, base + base]
