@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment of words.
+"""Benchmark decontamination: seeds of word pairs, counted exactly, and Smith-Waterman alignment of words.
 
 Test items come in blocks of a bounded size (`block_bytes` of text), each held by every worker. Documents are
-scanned once a block: where three consecutive words (fewer for shorter items) occur in an item, the passage around
-is kept as word numbers. The document frequency of each such n-gram over the whole corpus then tells which n-gram
-of every `stride` positions of an item is rarest: these are its seeds. Rarity is relative within the item, so an
-item that leaked into a third of all documents has seeds like any other. Passages that hold a seed are aligned
-with the item (match 2, mismatch and gap -1); the score is the best local alignment's share of a full match.
+scanned once a block. A passage's score is the best local alignment's share of a full match (match 2, mismatch and
+gap -1). An alignment with M matches that reaches `least` of an item of m words has at most 2M - 2*least*m errors, so
+at least least*m - 1 of its neighbouring matches have one error or none between them: their words are one or two
+places apart in item and passage, whatever was replaced, put in or left out. All such pairs of an item are its seeds
+(single words where least*m is 1 or less). A passage is aligned wherever so many places within the longest span of
+an alignment have a seed, and the sums of its words' best contributions can reach `least`. Both are bounds: no
+passage that scores `least` is missed, however dense its edits are, and none is left out for being frequent.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lowered.
 
@@ -26,13 +28,18 @@ from quarry.llm import textscan
 from quarry.llm.common import Workspace, small
 
 MATCH, MISS, GAP = 2, -1, -1
-SEED_WORDS = 3
+#: Places with seeds that are held at once, unless one document has more.
+HITS = 2_000_000
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first.astype(np.int64) << 32 | second
 
 
 class Items:
-    """A block of test items: word numbers, and the n-grams with their items and positions."""
+    """A block of test items: word numbers, and the seeds with their items (those of seed k are of[at[k]:at[k + 1]])."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], least: float):
         self.ids, hashes = [], []
         for key, text in rows:
             data = np.frombuffer(text.encode(), np.uint8)
@@ -42,65 +49,71 @@ class Items:
                 hashes.append(h)
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.words = [np.searchsorted(self.vocabulary, h).astype(np.int32) for h in hashes]
-        grams = [(textscan.shingles(h, min(SEED_WORDS, len(h))), i) for i, h in enumerate(hashes)]
-        self.grams = np.unique(np.concatenate([g for g, _ in grams])) if grams else np.zeros(0, np.uint64)
-        self.sizes = sorted({min(SEED_WORDS, len(h)) for h in hashes})
-        self.at: list[list[tuple[int, int]]] = [[] for _ in self.grams]
-        self.of: list[np.ndarray] = []
-        for g, i in grams:
-            number = np.searchsorted(self.grams, g)
-            self.of.append(number)
-            for place, k in enumerate(number.tolist()):
-                self.at[k].append((i, place))
-
-    def seeds(self, frequency: dict[int, int], stride: int) -> list[set[int]]:
-        """Of each item, the rarest n-gram of every stride positions."""
-        return [{int(min(own[a : a + stride], key=lambda k: (frequency.get(int(k), 0), int(k)))) for a in range(0, len(own), stride)} for own in self.of]
-
-
-def _passages(items: Items):
-    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("start", pa.int64()), ("words", pa.binary()), ("grams", pa.list_(pa.int32()))])
-    vocabulary, grams = pa.array(items.vocabulary), pa.array(items.grams)
-
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for ids, data, offsets in textscan.slices(batch.column(0), batch.column(1)):
-                h, _, _, first = textscan.words(data, offsets, textscan.MARKS)
-                number = pc.fill_null(pc.index_in(pa.array(h), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-                found = []
-                for n in items.sizes:
-                    if len(h) >= n:
-                        # n-grams of other words can't be an item's
-                        some = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(number >= 0, n).all(1))
-                        gram = textscan.mix(sum((h[some + j] * textscan.powers(n)[0][j] for j in range(n)), np.zeros(len(some), np.uint64)) + np.uint64(n))
-                        known = pc.fill_null(pc.index_in(pa.array(gram), value_set=grams), -1).to_numpy(zero_copy_only=False)
-                        row = np.searchsorted(first, some, "right") - 1
-                        fits = (known >= 0) & (some + n <= first[row + 1])
-                        found.append(np.stack([row[fits], some[fits], known[fits]]))
-                hits = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-                if not hits.shape[1]:
-                    continue
-                keys = ids.to_pylist()
-                by: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for row, place, gram in hits.T.tolist():
-                    for item, at in items.at[gram]:
-                        by.setdefault((row, item), []).append((place - at, place, gram))
-                for (row, item), own in by.items():
-                    own.sort()
-                    m, a, b = len(items.words[item]), int(first[row]), int(first[row + 1])
-                    runs = [[own[0]]]
-                    for hit in own[1:]:
-                        if hit[0] - runs[-1][-1][0] > m:
-                            runs.append([])
-                        runs[-1].append(hit)
-                    for run_ in runs:
-                        low, high = max(a, run_[0][0] - m // 2 - 2), min(b, run_[-1][0] + m + m // 2 + 2)
-                        for column, value in zip(out, (keys[row], item, low - a, number[low:high].astype("<i4").tobytes(), sorted({g for _, _, g in run_})), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
-
-    return run
+        size = np.array([len(w) for w in self.words], np.int64)
+        share = least * size
+        single = share <= 1
+        #: Places with a seed that an alignment has at least, and words of a passage it spans at most.
+        self.need = np.where(single, 1, np.maximum(1, np.ceil(share - 1 - 1e-9))).astype(np.int64)
+        self.span = np.ceil(3 * size - 2 * share).astype(np.int64) + 1
+        seeds, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, w in enumerate(self.words):
+            own = np.unique(-1 - w.astype(np.int64) if single[i] else np.concatenate([_pair(w[:-d], w[d:]) for d in (1, 2)]))
+            seeds.append(own)
+            items.append(np.full(len(own), i))
+        every, of = np.concatenate(seeds), np.concatenate(items)
+        order = np.argsort(every, kind="stable")
+        self.of = of[order]
+        self.seeds, first = np.unique(every[order], return_index=True)
+        self.at = np.append(first, len(every))
+
+
+def _candidates(items: Items, number: np.ndarray, first: np.ndarray, seeds: pa.Array):
+    """(row, item, low, high): passages of rows with enough seeds of the item. number: all rows' words, -1 if in no item."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    places, found = [], []
+    for d in (0, 1, 2):
+        n = max(0, len(number) - d)
+        some = np.flatnonzero((number[:n] >= 0) & (number[d:] >= 0) & (row[:n] == row[d:]))
+        key = _pair(number[some], number[some + d]) if d else -1 - number[some].astype(np.int64)
+        known = pc.fill_null(pc.index_in(pa.array(key), value_set=seeds), -1).to_numpy(zero_copy_only=False)
+        places.append(some[known >= 0])
+        found.append(known[known >= 0])
+    place, found = np.concatenate(places), np.concatenate(found)
+    order = np.argsort(place, kind="stable")
+    place, found = place[order], found[order]
+    size = items.at[found + 1] - items.at[found]
+    sums, ends, at = np.append(0, np.cumsum(size)), np.searchsorted(place, first), 0
+    while at < len(first) - 1:  # whole rows
+        to = max(at + 1, int(np.searchsorted(sums[ends], sums[ends[at]] + HITS, "right")) - 1)
+        a, b = ends[at], ends[to]
+        at = to
+        total = int(sums[b] - sums[a])
+        if not total:
+            continue
+        item = items.of[np.repeat(items.at[found[a:b]] - (sums[a:b] - sums[a]), size[a:b]) + np.arange(total)]
+        hit = np.unique(item * np.int64(len(number)) + np.repeat(place[a:b], size[a:b]))
+        item, where = np.divmod(hit, len(number))
+        group = item * np.int64(len(first)) + row[where]
+        last = np.arange(total)[: len(hit)] + items.need[item] - 1
+        inside = np.minimum(last, len(hit) - 1)
+        enough = (last < len(hit)) & (group[inside] == group) & (where[inside] - where <= items.span[item])
+        begin = np.flatnonzero(enough)
+        if not len(begin):
+            continue
+        end = inside[begin]
+        # windows of one row and item that an alignment could join are one passage
+        new = np.append(True, (group[begin[1:]] != group[begin[:-1]]) | (where[begin[1:]] - where[end[:-1]] > items.span[item[begin[1:]]]))
+        starts = np.flatnonzero(new)
+        for f, g in zip(starts, np.append(starts[1:], len(begin)) - 1, strict=True):
+            k, r = int(item[begin[f]]), int(row[where[begin[f]]])
+            reach = int(items.span[k]) + 2
+            yield r, k, max(int(first[r]), int(where[begin[f]]) - reach), min(int(first[r + 1]), int(where[end[g]]) + reach)
+
+
+def _most(good: np.ndarray) -> int:
+    """The largest sum of consecutive words, of MATCH where good and MISS elsewhere."""
+    sums = np.append(0, np.cumsum(np.where(good, MATCH, MISS)))
+    return int((sums - np.minimum.accumulate(sums)).max())
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -118,28 +131,32 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _aligned(items: Items, seeds: list[set[int]], least: float):
+def _aligned(items: Items, least: float):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
+    vocabulary, seeds = pa.array(items.vocabulary), pa.array(items.seeds)
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for key, item, start, words, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if seeds[item].isdisjoint(grams):
-                    continue
-                own, passage = items.words[item], np.frombuffer(words, "<i4")
-                best, end = align(own, passage)
-                score = best / (MATCH * len(own))
-                if score >= least:
-                    _, back = align(own[::-1], passage[:end][::-1])
-                    for column, value in zip(out, (key, items.ids[item], score, start + end - back, start + end), strict=True):
-                        column.append(value)
+            for ids, data, offsets in textscan.slices(batch.column(0), batch.column(1)):
+                h, _, _, first = textscan.words(data, offsets, textscan.MARKS)
+                number = pc.fill_null(pc.index_in(pa.array(h), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                for row, item, low, high in _candidates(items, number, first, seeds):
+                    own, passage, a = items.words[item], number[low:high], int(first[row])
+                    full = MATCH * len(own)
+                    if min(_most(np.isin(passage, own)), _most(np.isin(own, passage))) / full < least:
+                        continue
+                    best, end = align(own, passage)
+                    if best / full >= least:
+                        _, back = align(own[::-1], passage[:end][::-1])
+                        for column, value in zip(out, (ids[row].as_py(), items.ids[item], best / full, low - a + end - back, low - a + end), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, stride: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, item_id, score (0 to 1), start_word, end_word of each document's best passage for each item it holds.
 
     docs: doc_id and text; benchmark: item_id and text. Only scores of at least `least` are returned.
@@ -153,12 +170,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, stri
     parts = []
     for b in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        items = Items(sorted((r.item_id, r.text) for r in rows))
-        found = work.save(texts.mapInArrow(_passages(items), "doc_id long, item int, start long, words binary, grams array<int>"), f"passages-{b}")
-        counts = found.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("n"))
-        frequency = {r.gram: r.n for r in counts.collect()}  # at most the block's n-grams
-        parts.append(work.save(found.mapInArrow(_aligned(items, items.seeds(frequency, stride), least), "doc_id long, item_id long, score double, start_word long, end_word long"), f"aligned-{b}"))
-        work.drop(f"passages-{b}")
+        items = Items(sorted((r.item_id, r.text) for r in rows), least)
+        parts.append(work.save(texts.mapInArrow(_aligned(items, least), "doc_id long, item_id long, score double, start_word long, end_word long"), f"aligned-{b}"))
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     every = parts[0]

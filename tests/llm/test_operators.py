@@ -256,6 +256,31 @@ def test_decontamination(spark):
     assert decontam.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_dense_edits(spark):
+    """Every document and item against brute force; edits leave few or no intact n-grams."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 2, 3, 6, 30, 60])))) for i in range(30)]
+    texts = []
+    for _, t in items:
+        for every in (3, 4, 5, 8):
+            texts.append(prose(rng, 30) + " " + " ".join(f"x{k}" if k % every == 0 else w for k, w in enumerate(t.split())) + " " + prose(rng, 30))
+        texts.append(" ".join(f"{w} x{k}" for k, w in enumerate(t.split())))  # a word put in after each
+        texts.append(" ".join(w for k, w in enumerate(t.split()) if k % 3))
+        texts.append(" ".join(w if rng.random() > 0.25 else "x" for w in t.split()))
+    number = collections.defaultdict(lambda: len(number))
+    want = {}
+    for i, t in enumerate(texts):
+        passage = np.array([number[w] for w in t.lower().split()])
+        for j, item in items:
+            own = np.array([number[w] for w in item.split()])
+            score = decontam.align(own, passage)[0] / (2 * len(own)) if len(passage) else 0
+            if score >= 0.4:
+                want[i, j] = score
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame(spark, texts), bench).collect()}
+    assert got == want
+
+
 def test_align():
     rng = random.Random(10)
     for _ in range(40):
