@@ -155,9 +155,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     keyed = sketched.where("key IS NOT NULL").select("key", "doc_id", "n")
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
     shared_keys = classes.where("members > 1").select("key", "class_id")
-    copies = work.save(keyed.join(shared_keys, "key").select("doc_id", "class_id"), "copies")
+    copies = work.save(keyed.join(shared_keys, "key").select("key", "doc_id", "class_id"), "copies")
     later = copies.where("class_id < doc_id")
-    member = sketched.where("key IS NOT NULL").join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "key", F.posexplode("bands").alias("band", "bucket"))
+    # by key and id: of a document with several versions only those leave that another document represents
+    member = sketched.where("key IS NOT NULL").join(later, ["key", "doc_id"], "left_anti").select(F.col("doc_id").alias("id"), "n", "key", F.posexplode("bands").alias("band", "bucket"))
     buckets = work.save(member.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     shared = work.save(member.join(small(buckets, BROADCAST_IDS), ["band", "bucket"]), "shared")
 

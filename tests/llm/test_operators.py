@@ -75,6 +75,16 @@ def test_near_duplicates(spark, percent):
     assert neardup.near_duplicates(spark.createDataFrame([], TEXT)).count() == 0
 
 
+def test_near_duplicates_of_versions(spark):
+    """One version of 5 is a copy of 1's text; its other version still stands for its own class."""
+    rng = random.Random(14)
+    a, b = prose(rng, 120), prose(rng, 120)
+    near = " ".join([*b.split()[:-1], "changed"])
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, near), (11, prose(rng, 120))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, TEXT)).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 11: 11}
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(2)
     for n in (1, 3, 40, 5000):
