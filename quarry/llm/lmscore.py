@@ -1,16 +1,16 @@
 """Cross-entropy difference (Moore and Lewis, ACL 2010) between matched bigram models.
 
-The vocabulary is shared: the `vocabulary` most frequent words of the whole corpus, all others as one unknown word.
-Unigram and bigram counts of all documents (background) and of those marked as target are complete. Both models
-interpolate alike: p(w|h) = l * c(h,w)/c(h) + (1-l) * (c(w)+d)/(N+d*V), without the first term where h is unseen. A
-document's losses are means of -ln p over its words, and its score is target loss minus background loss: the
-lower, the more like the target.
-
-Bigram counts grow with the corpus and are never gathered. Each block of documents lists its distinct bigrams,
-in buckets by hash: a bucket's lists are summed by one task, and its sums meet the lists again, streamed one
-block at a time, in as many parts as its number of blocks asks for. So a bigram of any frequency costs a bucket
-one entry a block. As the vocabulary is bounded, so is the key space: BUCKETS buckets hold all of it with
-about a million keys each, and the driver and workers hold unigram counts only.
+The vocabulary is shared: all words of the whole corpus, and one unknown word. Unigram, context and bigram counts of
+all documents (background) and of those marked as target are complete. Both models interpolate alike:
+p(w|h) = l * c(h,w)/c(h) + (1-l) * (c(w)+d)/(N+d*V), without the first term where h is unseen. A document's losses
+are means of -ln p over its words, and its score is target loss minus background loss: the lower, the more like the
+target.
+
+Words, contexts and bigrams are keys alike, 64-bit hashes with their kind in the last bits. Counts grow with the
+corpus and are never gathered. Each block of documents lists its distinct keys, in buckets by hash: a bucket's lists
+are summed by one task, and its sums meet the lists again, streamed one block at a time, in as many parts as its number
+of blocks asks for; each block gets the counts of its keys back. So a key of any frequency costs a bucket one entry a
+block. The number of buckets grows with the bytes of text; the driver holds three totals only.
 
 Results on unusual input: documents without words (null, empty) have n_tokens 0 and null losses. Rows that share a
 doc_id are scored each; rows without doc_id as well. Without target documents the target model is uniform. An
@@ -21,101 +21,113 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
 from quarry.llm.common import Workspace
 
-BUCKETS = 2048
-BUCKET_TOKENS = 2_000_000
+BUCKET_BYTES = 12_000_000
+BUCKET_KEYS = 2_000_000
 BLOCKS_PER_PART = 256
+WORD, CONTEXT, BIGRAM = (np.uint64(k) for k in range(3))
+KIND = np.uint64(3)
+#: Stands before a document's first word.
+START = np.uint64(0x5EED0F0DD)
 
 
 def _flat(batch, i: int) -> np.ndarray:
     return np.asarray(batch.column(i).fill_null(False).to_numpy(zero_copy_only=False), np.bool_)
 
 
-def _count_words():
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
+def _packed(x: np.ndarray) -> bytes:
+    return x.astype("<u4" if x.max(initial=0) < 1 << 32 else "<u8").tobytes()
 
-    def run(batches):
-        for batch in batches:
-            marked, at, found = _flat(batch, 1), 0, []
-            for some, data, offsets in textscan.slices(batch.column(2), batch.column(0)):
-                h, _, _, first = textscan.words(data, offsets)
-                own = np.repeat(marked[at : at + len(some)], np.diff(first))
-                at += len(some)
-                words, place, n = np.unique(h, return_inverse=True, return_counts=True)
-                found.append((words, n, np.bincount(place[own], minlength=len(words))))
-            if found:
-                words, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                n, t = (np.bincount(place, np.concatenate([f[j] for f in found]), len(words)).astype(np.int64) for j in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(t)], schema=schema)
 
-    return run
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, "<u8" if len(x) == 8 * n else "<u4").astype(np.int64)
+
+
+class Keys:
+    """The distinct keys of a block in order of (bucket, key), from its distinct words, words' numbers and sizes of documents."""
+
+    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray, buckets: int):
+        self.words, width = words.astype(np.int64), len(vocabulary) + 1
+        before = np.empty_like(self.words)
+        before[1:] = self.words[:-1]
+        first = np.append(0, np.cumsum(sizes.astype(np.int64)))[:-1]
+        before[first[sizes > 0]] = len(vocabulary)
+        self.contexts, self.before = np.unique(before, return_inverse=True)
+        pairs, self.pairs = np.unique(before * width + self.words, return_inverse=True)
+        left, right = np.divmod(pairs, width)
+        hashes = np.append(vocabulary, START)
+        context = textscan.mix(hashes + np.uint64(0xC0))
+        made = (textscan.mix(vocabulary), context[self.contexts], textscan.mix(context[left] ^ (hashes[right] * np.uint64(0x9E3779B97F4A7C15))))
+        keys = np.concatenate([(k & ~KIND) | kind for k, kind in zip(made, (WORD, CONTEXT, BIGRAM), strict=True)])
+        bucket = ((keys >> np.uint64(2)) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.lexsort((keys, bucket))
+        self.keys = keys[self.order]
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.ends = np.cumsum([len(k) for k in made])
 
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """How often each key occurs, a place counting as its weight."""
+        sizes = np.diff(np.append(0, self.ends))
+        return np.concatenate([np.bincount(x, weights, n) for x, n in zip((self.words, self.before, self.pairs), sizes, strict=True)])[self.order].astype(np.int64)
 
-BLOCKS = "block long, bucket int, keys binary, n binary, t binary, postings binary, docs binary, counts binary"
-_BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("keys", "n", "t", "postings", "docs", "counts"))])
+    def by_place(self, values: np.ndarray) -> list[np.ndarray]:
+        """Values of keys as those of each place's word, context and bigram."""
+        plain = np.empty_like(values)
+        plain[self.order] = values
+        return [x[k] for x, k in zip(np.split(plain, self.ends[:-1]), (self.words, self.before, self.pairs), strict=True)]
 
 
-def _list_bigrams(vocabulary: np.ndarray, buckets: int):
-    """Rows of each block and bucket: keys, their counts n and t, and for each the documents with counts. Bucket -1 has
-    the block's documents: ids as keys, whether there is one as n, and their numbers of words as counts."""
-    known, unknown, start = pa.array(vocabulary), len(vocabulary), len(vocabulary) + 1
-    width = np.uint64(len(vocabulary) + 2)
+BLOCKS = "block long, bucket int, keys binary, n binary, t binary, words binary, sizes binary"
+_BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("keys", "n", "t", "words", "sizes"))])
+
+
+def _list_keys(buckets: int):
+    """Rows of each block and bucket: keys and their counts n and t. Bucket -1 has the block's documents: distinct words as
+    keys, ids as n, whether there is one as t, all words' numbers, and the documents' numbers of words."""
 
     def run(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            marked = _flat(batch, 1)
-            ids, at, sizes, pairs = batch.column(2), 0, [], []
-            for some, data, offsets in textscan.slices(ids, batch.column(0)):
-                h, _, _, first = textscan.words(data, offsets)
-                word = pc.fill_null(pc.index_in(pa.array(h), value_set=known), unknown).to_numpy(zero_copy_only=False).astype(np.uint64)
-                before = np.empty_like(word)
-                before[1:] = word[:-1]
-                size = np.diff(first)
-                before[first[:-1][size > 0]] = start
-                doc = np.repeat(np.arange(at, at + len(some), dtype=np.uint64), size)
-                pairs.append(((before * width + word) << np.uint64(24)) | doc)
-                sizes.append(size)
-                at += len(some)
-            n_docs = len(ids)
-            if not n_docs:
+            marked, ids, hashes, sizes = _flat(batch, 1), batch.column(2), [], []
+            if not len(ids):
                 continue
-            assert n_docs < 1 << 24
-            pair, count = np.unique(np.concatenate(pairs), return_counts=True)
-            key, doc = pair >> np.uint64(24), (pair & np.uint64((1 << 24) - 1)).astype(np.int64)
-            bucket = (textscan.mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, doc, count, bucket = key[order], doc[order], count[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            for _, data, offsets in textscan.slices(ids, batch.column(0)):
+                h, _, _, first = textscan.words(data, offsets)
+                hashes.append(h)
+                sizes.append(np.diff(first))
+            size = np.concatenate(sizes)
+            vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
+            own = Keys(vocabulary, words, size, buckets)
+            n, t = own.counts(np.ones(len(words))), own.counts(np.repeat(marked, size).astype(np.float64))
             out: list[list] = [[] for _ in _BLOCKS]
-
-            def add(*row):
+            known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            rows = [(block, -1, vocabulary.astype("<u8").tobytes(), ids.astype("<i8").tobytes(), known.tobytes(), words.astype("<u4").tobytes(), size.astype("<u4").tobytes())]
+            for b in np.flatnonzero(np.diff(own.cuts)).tolist():
+                some = slice(own.cuts[b], own.cuts[b + 1])
+                rows.append((block, b, own.keys[some].astype("<u8").tobytes(), n[some].astype("<u4").tobytes(), t[some].astype("<u4").tobytes(), None, None))
+            for row in rows:
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-
-            add(block, -1, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8).tobytes(), b"", b"", b"", np.concatenate(sizes).astype("<u4").tobytes())
-            for b in range(buckets):
-                k, d, c = (x[cuts[b] : cuts[b + 1]] for x in (key, doc, count))
-                if len(k):
-                    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                    add(block, b, *(x.astype("<u4").tobytes() for x in (k[first], np.add.reduceat(c, first), np.add.reduceat(c * marked[d], first), np.diff(np.append(first, len(k))), d, c)))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _BLOCKS, strict=True)], schema=_BLOCKS)
             block += 1
 
     return run
 
 
-def _sum_bigrams():
-    """Rows come ordered by bucket; one row of sorted keys and summed counts for each."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+SUMS = "bucket int, keys binary, n binary, t binary, distinct long, total_n long, total_t long"
+
+
+def _sum_keys():
+    """Rows come ordered by bucket; one row of sorted keys and summed counts for each, with the words' number and sums."""
+    schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("keys", "n", "t")), *((x, pa.int64()) for x in ("distinct", "total_n", "total_t"))])
 
     def merged(parts):
         keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -123,19 +135,21 @@ def _sum_bigrams():
 
     def row(bucket, parts):
         keys, n, t = merged(parts)
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys.astype("<u4"), n.astype("<i8"), t.astype("<i8")))], schema=schema)
+        word = (keys & KIND) == WORD
+        values = (bucket, keys.astype("<u8").tobytes(), _packed(n), _packed(t), int(word.sum()), int(n[word].sum()), int(t[word].sum()))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
 
     def run(batches):
         held, parts, waiting = None, [], 0
         for batch in batches:
-            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, k, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != held:
                     if parts:
                         yield row(held, parts)
                     held, parts, waiting = bucket, [], 0
-                parts.append(tuple(np.frombuffer(x, "<u4") for x in blobs))
+                parts.append((np.frombuffer(k, "<u8"), *(np.frombuffer(x, "<u4") for x in (n, t))))
                 waiting += len(parts[-1][0])
-                if waiting > BUCKET_TOKENS:
+                if waiting > BUCKET_KEYS:
                     parts, waiting = [merged(parts)], 0
         if parts:
             yield row(held, parts)
@@ -143,127 +157,81 @@ def _sum_bigrams():
     return run
 
 
-class Unigrams:
-    """Counts by word number (the last but one is the unknown word, the last stands before a document's first word)."""
-
-    def __init__(self, n: np.ndarray, t: np.ndarray, weight: float, extra: float):
-        self.counts, self.weight, self.extra = np.stack([n, t]).astype(np.float64), weight, extra
-        self.words = self.counts[:, :-1]
-        self.width = n.shape[0]
-
-    def losses(self, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """-ln p of bigrams for background and target; pairs: their counts in both."""
-        before, word = np.divmod(keys.astype(np.int64), self.width)
-        total = self.words.sum(1, keepdims=True)
-        plain = (self.words[:, word] + self.extra) / (total + self.extra * self.words.shape[1])
-        context = self.counts[:, before]
-        return -np.log(np.where(context > 0, self.weight * pairs / np.maximum(context, 1) + (1 - self.weight) * plain, plain))
-
-
-def _score_bigrams(unigrams: Unigrams):
-    """Rows come ordered by (bucket, part, role): the bucket's sums, then blocks' lists. Sums of losses by document."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.binary()), ("sums", pa.binary())])
+def _look_up():
+    """Rows come ordered by (bucket, part, role): the bucket's sums, then blocks' lists. The sums of each list's keys."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("t", pa.binary())])
 
     def run(batches):
-        keys = losses = None
+        keys = sums = None
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for role, block, bucket, k, n, t, postings, docs, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for role, block, bucket, k, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(k, "<u8")
                 if role == 0:
-                    keys = np.frombuffer(k, "<u4")
-                    losses = unigrams.losses(keys, np.stack([np.frombuffer(x, "<i8") for x in (n, t)]))
+                    keys, sums = own, [_unpacked(x, len(own)) for x in (n, t)]
                     continue
-                own = losses[:, np.searchsorted(keys, np.frombuffer(k, "<u4"))]
-                own = np.repeat(own, np.frombuffer(postings, "<u4"), axis=1) * np.frombuffer(counts, "<u4")
-                doc, place = np.unique(np.frombuffer(docs, "<u4"), return_inverse=True)
-                sums = np.stack([np.bincount(place, row, len(doc)) for row in own])
-                for column, value in zip(out, (block, bucket, doc.astype("<u4").tobytes(), sums.astype("<f8").tobytes()), strict=True):
+                at = np.searchsorted(keys, own)
+                for column, value in zip(out, (block, bucket, *(_packed(x[at]) for x in sums)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _gather():
-    """Rows come ordered by (block, bucket): the block's documents, then sums of their losses."""
+def _score(buckets: int, totals: list[int], size: int, weight: float, extra: float):
+    """Rows come ordered by (block, bucket): the block's documents, then the sums of its keys."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("background_loss", pa.float64()), ("target_loss", pa.float64())])
 
-    def row(ids, known, sizes, sums):
-        mean = sums / np.maximum(sizes, 1)
+    def row(own, ids, known, sizes, counts):
+        doc, mean = np.repeat(np.arange(len(sizes)), sizes), []
+        for values, total in zip(counts, totals, strict=True):
+            word, context, pair = own.by_place(values)
+            plain = (word + extra) / (total + extra * size)
+            loss = -np.log(np.where(context > 0, weight * pair / np.maximum(context, 1) + (1 - weight) * plain, plain))
+            mean.append(np.bincount(doc, loss, len(sizes)) / np.maximum(sizes, 1))
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sizes.astype(np.int64)), *(pa.array(np.round(x, 9), mask=sizes == 0) for x in mean)], schema=schema)
 
     def run(batches):
         held, state = None, None
         for batch in batches:
-            for block, bucket, keys, known, sizes, docs, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, bucket, keys, n, t, words, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket < 0:
                     if state:
                         yield row(*state)
-                    held, ids = block, np.frombuffer(keys, "<i8")
-                    state = ids, np.frombuffer(known, np.uint8), np.frombuffer(sizes, "<u4"), np.zeros((2, len(ids)))
+                    size_ = np.frombuffer(sizes, "<u4")
+                    own = Keys(np.frombuffer(keys, "<u8"), np.frombuffer(words, "<u4"), size_, buckets)
+                    held, state = block, (own, np.frombuffer(n, "<i8"), np.frombuffer(t, np.uint8), size_, np.zeros((2, len(own.keys)), np.int64))
                 else:
                     assert block == held
-                    at = np.frombuffer(docs, "<u4")
-                    state[3][:, at] += np.frombuffer(sums, "<f8").reshape(2, len(at))
+                    a, b = state[0].cuts[bucket : bucket + 2]
+                    state[4][:, a:b] = [_unpacked(x, b - a) for x in (n, t)]
         if state:
             yield row(*state)
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, vocabulary: int = 50_000, weight: float = 0.7, extra: float = 0.5) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, weight: float = 0.7, extra: float = 0.5) -> DataFrame:
     """doc_id, n_tokens, background_loss, target_loss and difference of every row. docs: doc_id, text, is_target."""
-    if vocabulary > 65_000:
-        raise ValueError("a bigram's key has 32 bits: the vocabulary may have 65,000 words at most")
     work = Workspace(docs.sparkSession, "lmscore")
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("is_target").cast("boolean"), F.lit(False)).alias("is_target"), F.col("doc_id").cast("long").alias("doc_id"))
-    counted = rows.mapInArrow(_count_words(), "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    counted = work.save(counted, "words")
-    totals = counted.agg(F.sum("n"), F.sum("t")).first()
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # at most `vocabulary` rows
-    words = np.array([r.word for r in top], np.int64).view(np.uint64)
-    n, t = (np.array([r[c] for r in top], np.int64) for c in ("n", "t"))
-    order = np.argsort(words)
-    words, n, t = words[order], n[order], t[order]
-    buckets = int(min(BUCKETS, max(16, (totals[0] or 0) // BUCKET_TOKENS)))
-    work.drop("words")
-    lists = rows.mapInArrow(_list_bigrams(words, buckets), BLOCKS)
+    buckets = int(max(16, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    lists = rows.mapInArrow(_list_keys(buckets), BLOCKS)
     lists.write.option("compression", "zstd").parquet(work.path("lists"))
     lists = docs.sparkSession.read.schema(lists.schema).parquet(work.path("lists"))
-    bigrams = lists.where("bucket >= 0")
-    sums = work.save(bigrams.select("bucket", "keys", "n", "t").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_bigrams(), "bucket int, keys binary, n binary, t binary"), "sums")
-    contexts = sums.mapInArrow(_contexts(len(words) + 2), "word int, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    before = np.zeros((2, len(words) + 2), np.int64)
-    for r in contexts.collect():  # a row per word of the vocabulary
-        before[:, r.word] = r.n, r.t
-    unigrams = Unigrams(np.append(n, [(totals[0] or 0) - n.sum(), 0]), np.append(t, [(totals[1] or 0) - t.sum(), 0]), weight, extra)
-    unigrams.counts = before.astype(np.float64)
+    listed = lists.where("bucket >= 0")
+    sums = work.save(listed.select("bucket", "keys", "n", "t").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_keys(), SUMS), "sums")
+    distinct, *totals = (x or 0 for x in sums.agg(F.sum("distinct"), F.sum("total_n"), F.sum("total_t")).first())
 
     blocks = lists.where("bucket < 0").count()
     parts = max(1, -(-blocks // BLOCKS_PER_PART))
     none = F.lit(None).cast("binary")
-    held = sums.select(F.lit(0).alias("role"), F.lit(None).cast("long").alias("block"), "bucket", "keys", "n", "t", none.alias("postings"), none.alias("docs"), none.alias("counts"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    listed = bigrams.select(F.lit(1).alias("role"), "block", "bucket", "keys", none.alias("n"), none.alias("t"), "postings", "docs", "counts", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"))
-    met = held.unionByName(listed).repartition(buckets * parts, "bucket", "part").sortWithinPartitions("bucket", "part", "role")
-    scored = met.drop("part").mapInArrow(_score_bigrams(unigrams), "block long, bucket int, docs binary, sums binary")
-    own = lists.where("bucket < 0").select("block", "bucket", "keys", "n", "counts", none.alias("docs"), none.alias("sums"))
-    partial = scored.select("block", "bucket", none.alias("keys"), none.alias("n"), none.alias("counts"), "docs", "sums")
-    done = own.unionByName(partial).repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_gather(), "doc_id long, n_tokens long, background_loss double, target_loss double")
+    held = sums.select(F.lit(0).alias("role"), F.lit(None).cast("long").alias("block"), "bucket", "keys", "n", "t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = listed.select(F.lit(1).alias("role"), "block", "bucket", "keys", none.alias("n"), none.alias("t"), F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"))
+    met = held.unionByName(asked).repartition(buckets * parts, "bucket", "part").sortWithinPartitions("bucket", "part", "role")
+    found = met.drop("part").mapInArrow(_look_up(), "block long, bucket int, n binary, t binary")
+    own = lists.where("bucket < 0")
+    back = found.select("block", "bucket", none.alias("keys"), "n", "t", none.alias("words"), none.alias("sizes"))
+    score = _score(buckets, totals, distinct + 1, weight, extra)
+    done = own.unionByName(back).repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(score, "doc_id long, n_tokens long, background_loss double, target_loss double")
     return done.withColumn("difference", F.round(F.col("target_loss") - F.col("background_loss"), 9))
-
-
-def _contexts(width: int):
-    """How often each word stands before another, in all and in target documents."""
-    schema = pa.schema([("word", pa.int32()), ("n", pa.int64()), ("t", pa.int64())])
-
-    def run(batches):
-        out = np.zeros((2, width), np.int64)
-        for batch in batches:
-            for keys, n, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                before = np.frombuffer(keys, "<u4") // width
-                for row, counts in zip(out, (n, t), strict=True):
-                    row += np.bincount(before, np.frombuffer(counts, "<i8"), width).astype(np.int64)
-        some = np.flatnonzero(out[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(out[0, some]), pa.array(out[1, some])], schema=schema)
-
-    return run

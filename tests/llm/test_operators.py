@@ -328,6 +328,31 @@ def test_lm_scores(spark):
     assert lmscore.cross_entropy_difference(df.limit(0)).count() == 0
 
 
+def test_lm_scores_of_many_words(spark):
+    """Over 65,000 distinct words, most of them rare: each has counts of its own."""
+    rng = random.Random(13)
+    docs = [(i, " ".join(f"w{i * 700 + k}" if k < 700 else f"w{rng.randrange(90_000)}" for k in range(1000)), i % 2 == 0) for i in range(100)]
+    docs[1] = (1, docs[0][1], False)  # its words are the target's
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(spark.createDataFrame(docs, TEXT + ", is_target boolean")).collect()}
+    words = {i: t.split() for i, t, _ in docs}
+    size = len({w for ws in words.values() for w in ws}) + 1
+    assert size > 65_000
+    for k, name in ((0, "background_loss"), (1, "target_loss")):
+        uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+        for i, _, target in docs:
+            if target or not k:
+                uni.update(words[i])
+                bi.update(zip(["", *words[i]], words[i]))
+                ctx.update(["", *words[i][:-1]])
+        total = sum(uni.values())
+        for i, ws in words.items():
+            loss = 0.0
+            for h, w in zip(["", *ws], ws):
+                p = (uni[w] + 0.5) / (total + 0.5 * size)
+                loss -= math.log(0.7 * bi[h, w] / ctx[h] + 0.3 * p if ctx[h] else p)
+            assert abs(got[i][name] - loss / len(ws)) < 1e-6
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (queries.table(spark, d, n) for n in ("documents", "labels"))
