@@ -5,9 +5,13 @@ sentences that only speak of licences. The unknown is a class of its own, and th
 counts is the lowest above everything that the held-out unknown sentences reached. A prediction stands if the
 paragraph holds enough of one of the family's notices, measured as the share of the notice's bigrams.
 
-A paragraph is a line of text. Only paragraphs with one of the anchor words are scored, and every notice has one;
-others are unknown. The main path is one narrow plan of SQL expressions over the model's table of n-grams, which
-depends on the notices only: no Python, no shuffle.
+A paragraph is a line of text, or a window of adjacent lines: from each line on, every number of lines up to the one that
+holds the longest notice, or to the next line without words. So notices wrapped over lines are found, also behind
+comment marks and one after another. Only paragraphs with one of the anchor words are scored, and every notice has one;
+others are unknown. Of paragraphs that overlap and name one family the most similar stands, of equal ones a line alone
+or else the one that starts last; windows that are part of a more similar one of another family don't. The main path is
+a plan of SQL expressions over the model's table of n-grams, which depends on the notices only: no Python, and only what
+was found is shuffled, by row.
 
 Results on unusual input: null and empty texts have no licence. Paragraphs of any length are scored whole; rows
 that share a doc_id, or have none, are reported each. An empty table gives an empty result.
@@ -213,15 +217,25 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+#: Words of a window of lines at least: the longest notice, and what its first line may hold before it.
+WINDOW = max(len(_words(n)) for own in NOTICES.values() for n in own) + 20
+
+
 def scan(docs: DataFrame, keep: list[str], least_share: float = 0.6) -> DataFrame:
-    """keep, paragraph (its line's number from 0), line, family, probability and similarity of every licence found."""
+    """keep, paragraph (its first line's number from 0), line, family, probability and similarity of every licence found."""
     m = model()
     known = sorted(set(ANCHORS) | {"terms", "conditions", "law"})
     anchor = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(known) + ")(?![A-Za-z0-9])"
     quoted = "'" + anchor.replace("\\", "\\\\") + "'"
-    lines = docs.select(*keep, F.col("text").cast("string").alias("_t")).where(F.expr(f"_t RLIKE {quoted}"))
+    texts = docs.select(*keep, F.col("text").cast("string").alias("_t")).where(F.expr(f"_t RLIKE {quoted}")).withColumn("_row", F.monotonically_increasing_id())
+    lines = texts.withColumn("_l", F.expr("split(_t, '\\n', -1)")).withColumn("_c", F.expr("transform(_l, l -> size(filter(split(l, '[^A-Za-z0-9]+'), w -> w <> '')))"))
+    # each window holds a word a line at least, so that WINDOW lines are enough
+    step = f"(a, c) -> IF(a.done OR c = 0, named_struct('n', a.n, 'k', a.k, 'done', true), named_struct('n', a.n + c, 'k', a.k + 1, 'done', a.n + c >= {WINDOW}))"
+    lengths = f"transform(_c, (c, i) -> IF(c = 0, 0, aggregate(slice(_c, i + 1, {WINDOW}), named_struct('n', 0, 'k', 0, 'done', false), {step}).k))"
+    windows = "flatten(transform(_k, (k, i) -> transform(slice(sequence(1, greatest(k, 1)), 2, 1000), n -> named_struct('paragraph', i, 'last', i + n - 1, 'line', array_join(slice(_l, i + 1, n), '\\n')))))"
+    single = "transform(_l, (l, i) -> named_struct('paragraph', i, 'last', i, 'line', l))"
     # one row per paragraph with an anchor
-    rows = lines.select(*keep, F.expr(f"inline(filter(transform(split(_t, '\\n', -1), (l, i) -> named_struct('paragraph', i, 'line', l)), x -> x.line RLIKE {quoted}))"))
+    rows = lines.withColumn("_k", F.expr(lengths)).select(*keep, "_row", F.expr(f"inline(filter(concat({single}, {windows}), x -> x.line RLIKE {quoted}))"))
     words = rows.withColumn("_w", F.expr("filter(split(lower(line), '[^a-z0-9]+'), w -> w <> '')"))
     pairs = words.withColumn("_p", F.expr("array_distinct(zip_with(slice(_w, 1, greatest(size(_w) - 1, 0)), slice(_w, 2, greatest(size(_w) - 1, 0)), (a, b) -> concat(a, ' ', b)))"))
     # n-grams and weights as two texts: they fold into one constant map
@@ -235,4 +249,13 @@ def scan(docs: DataFrame, keep: list[str], least_share: float = 0.6) -> DataFram
     notices = _literal([[_pairs(n) for n in NOTICES[f]] for f in NOTICES])
     share = _let("_p", "ps", f"array_max(transform(get({notices}, -_top.best.c), n -> size(array_intersect(n, ps)) / size(n)))")
     named = scored.withColumn("family", F.expr(f"get({_literal(m.families)}, -_top.best.c)")).withColumn("similarity", F.expr(share))
-    return named.where(F.col("similarity") >= least_share).select(*keep, "paragraph", "line", "family", "probability", "similarity")
+    found = named.where(F.col("similarity") >= least_share)
+    # the best of each row first
+    row = F.struct((-F.col("similarity")).alias("s"), F.when(F.col("last") > F.col("paragraph"), 1).otherwise(0).alias("wide"), (-F.col("paragraph")).alias("p"), "paragraph", "last", "line", "family", "probability", "similarity")
+    by_row = found.groupBy("_row").agg(*(F.first(c).alias(c) for c in keep), F.sort_array(F.collect_list(row)).alias("_f"))
+    # a part of a better window of another family is no notice, nor is what overlaps it and names the same family
+    part = "x.wide = 1 AND exists(a, y -> NOT y.part AND y.x.paragraph <= x.paragraph AND x.last <= y.x.last)"
+    again = "exists(a, y -> y.x.family = x.family AND y.x.paragraph <= x.last AND x.paragraph <= y.x.last)"
+    ranked = f"aggregate(_f, transform(slice(_f, 1, 0), x -> named_struct('x', x, 'part', false)), (a, x) -> IF({again}, a, concat(a, array(named_struct('x', x, 'part', {part})))))"
+    best = by_row.select(*keep, F.explode(F.expr(f"filter({ranked}, y -> NOT y.part)")).alias("_y")).select(*keep, F.col("_y.x").alias("_x"))
+    return best.select(*keep, *(F.col(f"_x.{c}").alias(c) for c in ("paragraph", "line", "family", "probability", "similarity")))

@@ -247,6 +247,19 @@ def test_licenses(spark):
     assert got == [(n, 1, "Apache-2.0"), (n, 2, "MIT")] and licenses.model().accuracy > 0.95
 
 
+def test_wrapped_licenses(spark):
+    """Notices over several lines, bare and in comments, alone and one after another."""
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    apache = 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    texts = [f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{mit}", f"Copyright 2020\n\n{bsd}", f"x\n\n{apache}\n\ny", gpl]
+    texts += ["/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\nint x;" for t in (mit, bsd, apache, gpl)]
+    texts += [f"{bsd}\n{gpl}", "\n".join(mit.split(" "))]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(frame(spark, texts), ["doc_id"]).collect())
+    assert got == [(0, 4, "MIT"), (1, 2, "BSD"), (2, 2, "Apache-2.0"), (3, 0, "GPL"), (4, 1, "MIT"), (5, 1, "BSD"), (6, 1, "Apache-2.0"), (7, 1, "GPL"), (8, 0, "BSD"), (8, 2, "GPL"), (9, 0, "MIT")]
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     items = [(i, prose(rng, 35, tuple("abcdefghij"))) for i in range(10)]
