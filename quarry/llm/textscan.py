@@ -1,7 +1,9 @@
 """Vectorised scans of UTF-8 text: prefix polynomial hashes, words and sliding minima, with NumPy.
 
-Hashes are polynomials modulo 2^64 over one random 64-bit value per byte. With an odd base the power of a
-position can be divided out, so that the hash of any substring comes from two prefix sums.
+Hashes of arbitrary substrings are polynomials modulo 2^64 over one random 64-bit value per byte. With an odd base the
+power of a position can be divided out, so that they come from two prefix sums. Texts can be built that collide there,
+so such hashes are compared only where bytes are verified after. Words are hashed by tabulation instead: the sum of one
+random value for each pair of a byte and its place in the word.
 """
 
 from __future__ import annotations
@@ -50,6 +52,30 @@ def substring(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (p[end] - p[start]) * down[start]
 
 
+_PLACES = 64
+
+
+def _placed(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix(mix((place.astype(np.uint64) << np.uint64(8)) + byte + np.uint64(0xB17E5)) ^ np.uint64(BASE))
+
+
+PLACED = _placed(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256, dtype=np.uint64), _PLACES))
+
+
+def tabulated(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], which don't overlap and ascend: equal bytes have equal hashes, wherever they are."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    body = data[start[0] :]
+    place = np.arange(len(body)) - np.repeat(start - start[0], np.diff(np.append(start, len(data))))
+    value = PLACED[(np.minimum(place, _PLACES - 1) << 8) | body]
+    far = np.flatnonzero(place >= _PLACES)
+    value[far] = _placed(place[far], body[far])
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(value, out=sums[1:])
+    return mix(sums[end - start[0]] - sums[start - start[0]] + (end - start).astype(np.uint64))
+
+
 #: A-Z lowered, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -86,9 +112,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = SPACE)
     begins[cut] = inside[cut + 1]
     ends[cut - 1] = inside[cut]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    p = prefix(LOWER[data])
-    h = mix(substring(p, start, end) + (end - start).astype(np.uint64))
-    return h, start, end, np.searchsorted(start, offsets)
+    return tabulated(LOWER[data], start, end), start, end, np.searchsorted(start, offsets)
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:

@@ -2,8 +2,8 @@
 
 A byte-level BPE tokenizer cuts its text before it merges, and no piece goes on over a space that stands between
 two other characters, nor over a single line end. So a text without other white space is encoded word by word,
-and a word met before needs no second encoding: words are found and looked up by 64-bit hash for a whole slice of
-texts at once, new ones are encoded together. Texts with other white space, two of them in a row, a space at an
+and a word met before needs no second encoding: a slice's distinct words are looked up by hash, and by all their bytes,
+and new ones are encoded together. Texts with other white space, two of them in a row, a space at an
 end, or the special token's string are encoded as one.
 """
 
@@ -22,25 +22,48 @@ _BAD = np.zeros(256, np.bool_)
 _BAD[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = True
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places start .. start + size, one range after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class _Table:
-    """Sorted hashes with the place and number of their ids in a pool."""
+    """Words by sorted hash: the place and number of their bytes in one pool and of their ids in another."""
 
     def __init__(self):
         self.keys, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.from_, self.length, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where it is unknown."""
+    def find(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Row of each word, -1 where it is unknown; all bytes are compared."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        row = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[row] == keys, row, -1)
-
-    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        at = np.cumsum(sizes) - sizes + len(self.pool)
-        keys, at, sizes = np.append(self.keys, keys), np.append(self.at, at), np.append(self.size, sizes.astype(np.int32))
+        order = np.argsort(keys)  # sorted keys are found faster
+        row = np.empty(len(keys), np.int64)
+        row[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        size = np.diff(offsets)
+        same = np.flatnonzero((self.keys[row] == keys) & (self.length[row] == size))
+        n = size[same]
+        differs = np.append(0, np.cumsum(self.bytes[_ranges(self.from_[row[same]], n)] != data[_ranges(offsets[same], n)]))
+        ends = np.cumsum(n)
+        same = same[differs[ends] == differs[ends - n]]
+        out = np.full(len(keys), -1)
+        out[same] = row[same]
+        return out
+
+    def add(self, keys: np.ndarray, words: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, from_ = np.cumsum(sizes) - sizes + len(self.pool), np.cumsum(lengths) - lengths + len(self.bytes)
+        keys = np.append(self.keys, keys)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], at[order], sizes[order]
-        self.pool = np.append(self.pool, ids.astype(np.uint32))
+        self.keys = keys[order]
+        self.at, self.size = np.append(self.at, at)[order], np.append(self.size, sizes.astype(np.int32))[order]
+        self.from_, self.length = np.append(self.from_, from_)[order], np.append(self.length, lengths.astype(np.int32))[order]
+        self.pool, self.bytes = np.append(self.pool, ids.astype(np.uint32)), np.append(self.bytes, words)
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """What add() takes."""
+        return self.keys, self.bytes[_ranges(self.from_, self.length)], self.length, self.pool[_ranges(self.at, self.size)], self.size
 
 
 class Encoder:
@@ -87,15 +110,22 @@ class Encoder:
         if len(self._main.keys) + len(self._recent.keys) > self._bound:
             self._main, self._recent = self._recent, _Table()
         elif len(self._recent.keys) > self._recent_bound:
-            table = self._recent
-            ids = table.pool[np.repeat(table.at - (np.cumsum(table.size) - table.size), table.size) + np.arange(table.size.sum())]
-            self._main.add(table.keys, table.size, ids)
+            self._main.add(*self._recent.rows())
             self._recent = _Table()
 
-    def _learn(self, keys: np.ndarray, words: list[bytes], spaced: np.ndarray) -> None:
-        for mark, some in ((" ", np.flatnonzero(spaced)), ("\n", np.flatnonzero(~spaced))):
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has) of words with the space before them, if there is one, and of line ends."""
+        spaced = np.array([w[0] == _SPACE for w in words], np.bool_)
+        lines = np.array([w == b"\n" for w in words], np.bool_)
+        order, sizes, out = [np.flatnonzero(lines)], [np.ones(lines.sum(), np.int64)], [np.full(lines.sum(), self._line, np.uint32)]
+        for mark, some in ((" ", np.flatnonzero(spaced)), ("\n", np.flatnonzero(~spaced & ~lines))):
             if len(some):
-                self._recent.add(keys[some], *self._joined([words[i].decode() for i in some], mark))
+                size, ids = self._joined([words[i][mark == " " :].decode() for i in some.tolist()], mark)
+                order.append(some)
+                sizes.append(size)
+                out.append(ids)
+        size, ids, where = np.concatenate(sizes), np.concatenate(out), np.argsort(np.concatenate(order))
+        return ids[_ranges((np.cumsum(size) - size)[where], size[where])], size[where]
 
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows that can't be encoded word by word."""
@@ -138,57 +168,39 @@ class Encoder:
     def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        line = data == _LINE
-        inside = data != _SPACE
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1] | line[1:] | line[:-1]
-        cut = offsets[1:-1]
-        cut = cut[(cut > 0) & (cut < len(data))]
-        begins[cut] = True
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:] | line[1:] | line[:-1]
-        ends[cut - 1] = True
-        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        spaced = np.zeros(len(start), np.bool_)
-        spaced[start > 0] = ~inside[start[start > 0] - 1]
-        p = textscan.prefix(data)
-        h = textscan.mix(textscan.substring(p, start, end) * np.uint64(2) + ((end - start).astype(np.uint64) << np.uint64(1)) + spaced)
-        coded = pa.array(h).dictionary_encode()
-        keys, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        order = np.argsort(keys)  # sorted keys are found faster
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        keys, place = keys[order], rank[place]
-        first = np.zeros(len(keys), np.int64)
-        first[place[::-1]] = np.arange(len(place))[::-1]
+        # pieces without gaps: a line end, or a word with the space before it
+        begins = (data == _SPACE) | (data == _LINE)
+        begins[1:] |= data[:-1] == _LINE
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(begins)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        place, words = coded.indices.to_numpy(), coded.dictionary
+        cuts = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        body = np.frombuffer(words.buffers()[2], np.uint8)[cuts[0] : cuts[-1]]
+        cuts = cuts - cuts[0]
+        keys = textscan.tabulated(body, cuts[:-1], cuts[1:])
         self._tidy()
-        main, recent = self._main.find(keys), self._recent.find(keys)
-        new = np.flatnonzero((main < 0) & (recent < 0))
+        main, recent = self._main.find(keys, body, cuts), self._recent.find(keys, body, cuts)
+        size = np.zeros(len(keys), np.int64)
+        new, old = np.flatnonzero((main < 0) & (recent < 0)), np.flatnonzero(main >= 0)
+        late = np.flatnonzero((main < 0) & (recent >= 0))
+        size[old], size[late] = self._main.size[main[old]], self._recent.size[recent[late]]
+        made = np.zeros(0, np.uint32)
         if len(new):
-            body, a, b = data.tobytes(), start[first[new]].tolist(), end[first[new]].tolist()
-            own = [body[x:y] for x, y in zip(a, b, strict=True)]
-            lines = np.array([w == b"\n" for w in own])
-            if lines.any():
-                self._recent.add(keys[new[lines]], np.ones(int(lines.sum()), np.int64), np.full(int(lines.sum()), self._line, np.uint32))
-            some = np.flatnonzero(~lines)
-            if len(some):
-                self._learn(keys[new[some]], [own[i] for i in some], spaced[first[new[some]]])
-            main, recent = self._main.find(keys), self._recent.find(keys)
-        old = recent < 0
-        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        at[old], size[old] = self._main.at[main[old]], self._main.size[main[old]]
-        at[~old], size[~old] = self._recent.at[recent[~old]], self._recent.size[recent[~old]]
+            made, size[new] = self._ids([body[a:b].tobytes() for a, b in zip(cuts[new].tolist(), cuts[new + 1].tolist(), strict=True)])
         # the slice's own pool, in the order of its dictionary
         begin = np.cumsum(size) - size
         own_pool = np.zeros(size.sum(), np.uint32)
-        for rows, table in ((np.flatnonzero(old), self._main), (np.flatnonzero(~old), self._recent)):
-            n = size[rows]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            own_pool[np.repeat(begin[rows], n) + step] = table.pool[np.repeat(at[rows], n) + step]
+        own_pool[_ranges(begin[new], size[new])] = made
+        for rows, table, at in ((old, self._main, main), (late, self._recent, recent)):
+            own_pool[_ranges(begin[rows], size[rows])] = table.pool[_ranges(table.at[at[rows]], size[rows])]
+        if len(new):
+            n = np.diff(cuts)[new]
+            self._recent.add(keys[new], body[_ranges(cuts[new], n)], n, made, size[new])
         n = size[place]
-        ends_at = np.cumsum(n)
-        flat = own_pool[np.repeat(begin[place] - (ends_at - n), n) + np.arange(ends_at[-1] if len(n) else 0)]
-        total = np.append(0, ends_at)[np.searchsorted(start, offsets)]
+        flat = own_pool[_ranges(begin[place], n)]
+        total = np.append(0, np.cumsum(n))[np.searchsorted(start, offsets)]
         return flat, np.diff(total)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

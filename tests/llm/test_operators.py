@@ -41,6 +41,30 @@ def test_tokens_exact():
                 at += n
 
 
+def folded(n, a, b):
+    """The first n letters of Thue and Morse's sequence: polynomial hashes modulo 2^64 can't tell it from its opposite."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a[:n]
+
+
+FOLDED = [folded(n, *ab) for n in (1024, 2048) for ab in ("ab", "ba")]
+
+
+def test_words_of_equal_polynomials(spark):
+    plain, docs = Tokenizer.from_file(PATH), frame(spark, [*FOLDED, *(f"x {t} y" for t in FOLDED)])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = {k: plain.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert {r.doc_id: r.ids_crc32 for r in simple8b.round_trip(docs, PATH).collect()} == {k: crc([*x, 0]) for k, x in ids.items()}
+    got = collections.defaultdict(dict)
+    for r in packing.pack(docs, PATH).collect():
+        got[r.doc_id][r.start] = (r.length, r.ids_crc32)
+    for k, own in got.items():
+        assert own == {a: (n, crc([*ids[k], 2][a : a + n])) for a, (n, _) in own.items()}
+    assert all(r.kept for r in neardup.near_duplicates(docs, 85).collect())
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
