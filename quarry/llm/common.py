@@ -6,6 +6,8 @@ import os
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +82,6 @@ def give_back(spark: SparkSession | None = None) -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -89,34 +89,94 @@ def give_back(spark: SparkSession | None = None) -> None:
     except AttributeError:  # another C library
         pass
     if spark is not None:
-        spark.sparkContext._jvm.System.gc()
+        jvm = spark.sparkContext._jvm
+        jvm.System.gc()
+        beans, name = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        if any(o.getName() == "systemTrimNativeHeap" for o in beans.getMBeanInfo(name).getOperations()):  # only some JVMs have it
+            beans.invoke(name, "systemTrimNativeHeap", None, None)
+
+
+#: A table is broadcast if its rows take at most so many bytes.
+BROADCAST_BYTES = 6 << 20
+
+
+def rows_within(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether df's rows, of fixed width or keys of 16 bytes, take at most limit bytes. df is a saved table: this is a count."""
+    width = 8 + sum({"bigint": 8, "double": 8, "int": 4, "boolean": 1, "binary": 24}[f.dataType.simpleString()] for f in df.schema)
+    return df.count() * width <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast where it is within the limit; beyond, Spark chooses the join."""
+    return F.broadcast(df) if rows_within(df, limit) else df
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows; beyond, Spark chooses the join."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).head(rows + 1)) <= rows else df
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+    """Inner join with a saved table of distinct keys, in which count tells how many rows left has of each.
+
+    A small table is broadcast whole. Of a larger one the keys that have more than a share-th of left's rows, so
+    fewer than share of them, are broadcast, and the others meet by a shuffle, in which no key is hot.
+    """
+    if rows_within(right):
+        return left.join(F.broadcast(right), keys)
+    limit = (right.agg(F.sum(count)).first()[0] or 0) // share
+    hot = F.broadcast(right.where(F.col(count) > limit))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) <= limit), keys)
+    return left.join(hot, keys).unionByName(rest)
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, the smallest node that it reaches) of all nodes that aren't the smallest themselves."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    some = root != np.arange(len(nodes))
+    return nodes[some], nodes[root[some]]
+
+
+def _contract(batches):
+    u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        u, v = _roots(*(np.concatenate([x, c.to_numpy()]) for x, c in zip((u, v), batch.columns, strict=True)))
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+#: Edges that one task contracts.
+EDGES_PER_TASK = 400_000
 
 
 def components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, component), component the smallest id.
 
-    Alternating large-star and small-star rounds: minima are aggregated by key and joined back, so that no
-    node's neighbours are ever gathered, and each round is written to the shared folder. Nodes that are only
-    linked with themselves, and nodes without edges, are absent. Empty input gives an empty table.
+    Each part of the edges, of a bounded number, is contracted to stars by itself. Where there are several parts,
+    alternating large-star and small-star rounds follow until nothing changes: minima are aggregated by key and joined
+    back, so that no node's neighbours are ever gathered. Each round is written to the shared folder. Nodes that
+    are only linked with themselves, and nodes without edges, are absent. Empty input gives an empty table.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = work.save(e, f"{name}-0")
+    e = work.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), f"{name}-edges")
+    parts = -(-e.count() // EDGES_PER_TASK) or 1
+    e = e.coalesce(1) if parts == 1 else e.repartition(parts, F.xxhash64("u", "v"))
+    e = work.save(e.mapInArrow(_contract, "u long, v long"), f"{name}-0")
+    work.drop(f"{name}-edges")
     before, step = None, 0
-    while True:
+    while parts > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = work.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), f"{name}-{step}-a")
+        large = work.save(join_counted(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-{step}-b")
+        least = work.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-{step}-c")
         # each node keeps its smallest neighbour, and its other neighbours are handed over to that one
-        step_edges = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        step_edges = join_counted(large, least, ["u"], "n").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = work.save(step_edges.select("x.u", "x.v").where("u <> v").distinct(), f"{name}-{step + 1}")
-        work.drop(f"{name}-{step}")
+        work.drop(f"{name}-{step}", *(f"{name}-{step}-{x}" for x in "abc"))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            break
         before, step = now, step + 1
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

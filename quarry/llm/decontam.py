@@ -185,4 +185,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, **opti
     """The rows of docs, with all their columns, of documents that hold no item. Rows without doc_id stay."""
     work = Workspace(docs.sparkSession, "decontam-ids")
     bad = work.save(contaminated(docs, benchmark, least, **options).select("doc_id").distinct(), "bad")
-    return docs.join(small(bad, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(bad), "doc_id", "left_anti").select(*docs.columns)

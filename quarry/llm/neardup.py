@@ -14,8 +14,9 @@ different components, shingles that only one of those members has are counted. M
 min(i_x, i_y) + min(e_x, e_y) elements, with i the elements that a member shares with the pivot and e those
 that it shares with others but not with the pivot; that bounds their similarity. Members outside the bucket's
 largest component are paired, in the first bucket they share, with members of other components that this bound
-allows, until nothing is open. So no link between two members of one bucket that would join components is missed, and
-no bucket, partner or candidate is capped.
+allows, and verified too. So no link between two members of one bucket that would join components is missed, and
+no bucket, partner or candidate is capped. Keys and buckets that hold a large share of the rows are joined by broadcast
+(there can only be few), and the pairs of a large bucket are dealt over tasks.
 
 With bands=42 and rows=6, a pair at the threshold shares no bucket with probability (1-0.85^6)^42 = 2e-9
 (0.8: 3e-6).
@@ -35,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
-from quarry.llm.common import Workspace, components, give_back, small
+from quarry.llm.common import Workspace, components, give_back, join_counted, small
 
 FULL = np.uint64(2**64 - 1)
 LOW = np.uint64(2**48 - 1)
-#: Tables of ids with at most so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Pairs of one bucket whose bounds a task compares at most, about.
+PAIRS_PER_TASK = 1_000_000
 
 
 def sketch(elements: np.ndarray, t: int) -> np.ndarray:
@@ -124,22 +125,22 @@ def _compare(k: int, percent: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_task: int = 2000) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, work: Workspace, name: str, per_task: int = 2000) -> DataFrame:
     """Pairs (a, b) with linked and common, the size of the intersection, from full sets of texts (doc_id, text).
 
     b's text travels once per pair. a's is sent once to each part of at most about per_task of its pairs, so
     that no document with many partners makes a large task. Texts in no pair are left out before the shuffle
     where the ids are few enough to broadcast.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).alias("parts"))
+    parts = work.save(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / per_task).alias("parts")), f"{name}-parts")
     firsts = parts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.col("a").alias("doc_id"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("doc_id"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = texts.join(small(wanted, BROADCAST_IDS), "doc_id", "left_semi")
+    dealt = join_counted(pairs, parts, ["a"], "n").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("doc_id"))
+    wanted = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    some = texts.join(small(wanted), "doc_id", "left_semi")
     rows = firsts.unionByName(dealt).join(some, "doc_id").select("a", "b", "text", "part")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     done = rows.select("a", "b", "text").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, common long")
-    return done.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.max("common").alias("common"))
+    return work.save(done.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.max("common").alias("common")), name)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = 42, rows: int = 6) -> DataFrame:
@@ -152,41 +153,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     sketched = work.save(texts.mapInArrow(_sketches(k, bands, rows), "doc_id long, n long, key binary, bands array<long>"), "sketches")
 
-    keyed = sketched.where("key IS NOT NULL").select("key", "doc_id", "n")
-    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
-    shared_keys = classes.where("members > 1").select("key", "class_id")
-    copies = work.save(keyed.join(shared_keys, "key").select("key", "doc_id", "class_id"), "copies")
-    later = copies.where("class_id < doc_id")
+    keyed = sketched.where("key IS NOT NULL").select("key", "doc_id")
+    classes = work.save(keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members")).where("members > 1"), "classes")
+    later = work.save(join_counted(keyed, classes, ["key"], "members").where("class_id < doc_id").select("key", "doc_id", "class_id"), "later")
     # by key and id: of a document with several versions only those leave that another document represents
-    member = sketched.where("key IS NOT NULL").join(later, ["key", "doc_id"], "left_anti").select(F.col("doc_id").alias("id"), "n", "key", F.posexplode("bands").alias("band", "bucket"))
+    member = sketched.where("key IS NOT NULL").join(small(later.select("key", "doc_id")), ["key", "doc_id"], "left_anti").select(F.col("doc_id").alias("id"), "n", "key", F.posexplode("bands").alias("band", "bucket"))
     buckets = work.save(member.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    shared = work.save(member.join(small(buckets, BROADCAST_IDS), ["band", "bucket"]), "shared")
+    shared = work.save(join_counted(member, buckets, ["band", "bucket"], "size"), "shared")
 
     centre = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    pivots = shared.join(centre, "id").groupBy("band", "bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"))
-    tied = work.save(shared.join(pivots, ["band", "bucket"]).select("band", "bucket", "id", "n", "key", (-F.col("top.id")).alias("pivot")), "tied")
+    pivots = shared.join(centre, "id").groupBy("band", "bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"), F.count("*").alias("members"))
+    pivots = work.save(pivots.select("band", "bucket", (-F.col("top.id")).alias("pivot"), "members"), "pivots")
+    tied = work.save(join_counted(shared, pivots, ["band", "bucket"], "members").select("band", "bucket", "id", "n", "key", "pivot"), "tied")
+    work.drop("shared")
     pairs = work.save(tied.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
-    done = work.save(verify(pairs, texts, k, percent), "verified-0")
+    done = verify(pairs, texts, k, percent, work, "verified-0")
+    links = done.where("linked").select("a", "b").unionByName(later.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
+    labels = components(links, work, "cc-0")
+    give_back(spark)
+    pairs = _open(tied, done, labels, texts, sketched, k, percent, work)
+    if pairs.head(1):
+        more = verify(pairs, texts, k, percent, work, "verified-1")
+        labels = components(more.where("linked").select("a", "b").unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))), work, "cc-1")
     give_back(spark)
-    shared = work.save(tied.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "common"), ["pivot", "id"], "left").withColumn("common", F.coalesce("common", "n")).drop("pivot"), "members")
-
-    links, found, all_done, step = later.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")), done.where("linked").select("a", "b"), done, 0
-    while True:
-        labels = components(links.unionByName(found), work, f"cc-{step}")
-        give_back(spark)
-        labelled = shared.join(labels, "id", "left").select("band", "bucket", "id", "n", "key", "common", F.coalesce("component", "id").alias("c"))
-        sizes = labelled.groupBy("band", "bucket", "c").agg(F.count("*").alias("own"))
-        largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("own", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "bucket", F.col("top.c").alias("top"))
-        mixed = work.save(labelled.join(largest, ["band", "bucket"]), f"mixed-{step}")
-        alone = _alone(mixed.select(F.col("id").alias("doc_id")).distinct(), texts, k)
-        done_both = all_done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = work.save(_open(mixed, alone, sketched, percent).join(done_both, ["a", "b"], "left_anti"), f"pairs-{step + 1}")
-        if not pairs.head(1):
-            break
-        step += 1
-        done = work.save(verify(pairs, texts, k, percent), f"verified-{step}")
-        all_done = all_done.unionByName(done)
-        found = found.unionByName(done.where("linked").select("a", "b"))
     by_doc = sketched.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     joined = by_doc.join(labels, F.col("doc_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -205,28 +194,46 @@ def _elements(k: int):
 
 def _alone(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """How many shingles of each of these documents no other of them has: (id, alone)."""
-    some = texts.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+    some = texts.join(small(ids), "doc_id", "left_semi")
     elements = some.mapInArrow(_elements(k), "id long, g long")
     single = elements.groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
     return single.groupBy("id").agg(F.count("*").alias("alone"))
 
 
-def _open(mixed: DataFrame, alone: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one bucket in different components that can be similar enough.
+def _open(tied: DataFrame, done: DataFrame, labels: DataFrame, texts: DataFrame, sketched: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one bucket in different components that can be similar enough, and aren't done.
 
     Members of a bucket's largest component are paired only with members outside it. What is alone is known for
-    an id, so it isn't used for ids with several versions.
+    an id, so it isn't used for ids with several versions. Components only grow and the bounds stay as they are, so
+    that nothing is open any more once these pairs are verified.
     """
-    single = mixed.groupBy("id").agg(F.min("key").alias("k"), F.max("key").alias("l")).where("k = l").select("id")
-    rows = mixed.join(alone.join(single, "id", "left_semi"), "id", "left").withColumn("e", F.greatest(F.col("n") - F.col("common") - F.coalesce("alone", F.lit(0)), F.lit(0)))
-    bounds = rows.groupBy("band", "bucket").agg(F.min("n").alias("min_n"), F.max("common").alias("max_i"), F.max("e").alias("max_e"))
+    place = ["band", "bucket"]
+    labelled = work.save(tied.join(labels, "id", "left").select(*place, "id", "n", "key", "pivot", F.coalesce("component", "id").alias("c")), "labelled")
+    sizes = labelled.groupBy(*place, "c").agg(F.count("*").alias("own"))
+    largest = sizes.groupBy(*place).agg(F.max(F.struct("own", "c")).alias("top"), F.count("*").alias("kinds"), F.sum("own").alias("members")).where("kinds > 1")
+    largest = work.save(largest.select(*place, F.col("top.c").alias("top"), "members"), "largest")
+    with_pivot = done.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "common")
+    mixed = join_counted(labelled, largest, place, "members").join(with_pivot, ["pivot", "id"], "left").withColumn("common", F.coalesce("common", "n"))
+    mixed = work.save(mixed.select(*place, "id", "n", "key", "common", "c", "top", "members"), "mixed")
+    work.drop("labelled")
+    ids = work.save(mixed.groupBy("id").agg(F.min("key").alias("k"), F.max("key").alias("l")).select(F.col("id").alias("doc_id"), (F.col("k") == F.col("l")).alias("single")), "mixed-ids")
+    alone = work.save(_alone(ids.select("doc_id"), texts, k).join(ids.where("single").select(F.col("doc_id").alias("id")), "id", "left_semi"), "alone")
+    rows = work.save(mixed.join(alone, "id", "left").withColumn("e", F.greatest(F.col("n") - F.col("common") - F.coalesce("alone", F.lit(0)), F.lit(0))).drop("alone"), "open-rows")
+    bounds = work.save(rows.groupBy(*place).agg(F.min("n").alias("min_n"), F.max("common").alias("max_i"), F.max("e").alias("max_e"), F.count("*").alias("size")), "bounds")
     best = F.least("common", "max_i") + F.least("e", "max_e")
-    able = rows.join(bounds, ["band", "bucket"]).where(100 * best >= percent * (F.col("n") + F.greatest(F.col("min_n") - best, F.lit(0))))
-    bands = sketched.where("key IS NOT NULL").join(able.select("key").distinct(), "key", "left_semi").select("key", "bands").dropDuplicates(["key"])
-    able = able.join(bands, "key").select("band", "bucket", "id", "n", "common", "e", "c", "top", "bands")
-    outside = able.where("c <> top").select(*(F.col(x).alias(f"{x}_x") for x in ("band", "bucket", "id", "n", "common", "e", "c", "bands")))
+    able = join_counted(rows, bounds, place, "size").where(100 * best >= percent * (F.col("n") + F.greatest(F.col("min_n") - best, F.lit(0))))
+    able = work.save(able.select(*place, "id", "n", "key", "common", "e", "c", "top"), "able")
+    dealt = able.groupBy(*place).agg(F.count("*").alias("size"), F.count(F.when(F.col("c") != F.col("top"), 1)).alias("out")).where("out > 0")
+    dealt = work.save(dealt.select(*place, "size", F.ceil(F.col("size") * F.col("out") / PAIRS_PER_TASK).cast("int").alias("parts")), "dealt")
+    keys = work.save(able.join(dealt.select(*place), place, "left_semi").select("key").distinct(), "able-keys")
+    bands = sketched.where("key IS NOT NULL").join(small(keys), "key", "left_semi").select("key", "bands").dropDuplicates(["key"])
+    full = work.save(join_counted(able, dealt, place, "size").drop("size").join(bands, "key").drop("key"), "able-bands")
+    # each part of the members outside meets all
+    outside = full.where("c <> top").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(*place, "part", *(F.col(x).alias(f"{x}_x") for x in ("id", "n", "common", "e", "c", "bands")))
+    inside = full.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = F.least(F.least("common", "common_x") + F.least("e", "e_x"), "n", "n_x")
     meets = (F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("top")) | (F.col("id_x") < F.col("id"))) & (100 * both >= percent * (F.col("n") + F.col("n_x") - both))
     first = F.array_position(F.zip_with("bands", "bands_x", lambda u, v: u == v), True) == F.col("band") + 1
-    joined = outside.join(able, (F.col("band") == F.col("band_x")) & (F.col("bucket") == F.col("bucket_x")) & meets & first)
-    return joined.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
+    joined = outside.join(inside, [*place, "part"]).where(meets & first)
+    found = joined.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
+    return work.save(found.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs-1")

@@ -37,7 +37,7 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as good are the target, all documents the background."""
     good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(small(good, 2_000_000), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(small(good), "doc_id", "left")
     return lmscore.cross_entropy_difference(docs)
 
 

@@ -35,7 +35,6 @@ from quarry.llm.common import Workspace, small
 
 K = 40
 PLACE = np.uint64((1 << 28) - 1)
-BROADCAST_IDS = 1_000_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,13 +339,13 @@ def deduplicate(docs: DataFrame, length: int = 100, hot: int = 20_000, with_text
     found = texts.where(F.octet_length("text") >= length).select("uid", "text").mapInArrow(_anchor_rows(length), "h long, uid long, pos int, salt int")
     dealt_by = F.shiftright("salt", 1)  # 0 for those that have to meet
     again = work.save(found.repartition("h", dealt_by).sortWithinPartitions("h").mapInArrow(_repeated(), "h long, uid long, pos int"), "repeated")
-    some = texts.select("uid", "text").join(small(again.select("uid").distinct(), BROADCAST_IDS), "uid", "left_semi")
+    some = texts.select("uid", "text").join(small(work.save(again.select("uid").distinct(), "repeated-ids")), "uid", "left_semi")
     none = F.lit(None)
     rows = some.select("uid", F.lit(-1).alias("pos"), none.cast("long").alias("h"), "text").unionByName(again.select("uid", "pos", "h", none.cast("binary").alias("text")))
     around = rows.repartition("uid").sortWithinPartitions("uid", "pos").mapInArrow(_contexts(length), "h long, uid long, pos int, left int, right int, around binary")
 
     often = work.save(again.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "often")
-    dealt = around.join(small(often, BROADCAST_IDS), "h", "left").select("h", F.coalesce(F.pmod(F.xxhash64("uid"), "parts").cast("int"), F.lit(0)).alias("part"), F.col("parts").isNotNull().cast("int").alias("passes"), "uid", "pos", "left", "right", "around")
+    dealt = around.join(small(often), "h", "left").select("h", F.coalesce(F.pmod(F.xxhash64("uid"), "parts").cast("int"), F.lit(0)).alias("part"), F.col("parts").isNotNull().cast("int").alias("passes"), "uid", "pos", "left", "right", "around")
     order = ["h", "part", "uid", "pos"]
     solved = work.save(dealt.repartition("h", "part").sortWithinPartitions(*order).mapInArrow(_covered_rows(length), MARKS), "covered")
     passed = solved.where("h IS NOT NULL").select("h", F.lit(0).alias("part"), F.lit(0).alias("passes"), "uid", "pos", "left", "right", "around")
@@ -354,8 +353,7 @@ def deduplicate(docs: DataFrame, length: int = 100, hot: int = 20_000, with_text
     marks = work.save(solved.where("start IS NOT NULL").select("uid", "start", "stop").unionByName(second.where("start IS NOT NULL").select("uid", "start", "stop")), "marks")
     work.drop("repeated", "covered", "often")
 
-    ids = marks.select("uid").distinct()
-    ids = small(ids, BROADCAST_IDS)
+    ids = small(work.save(marks.select("uid").distinct(), "marked-ids"))
     whole = texts.join(ids, "uid", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []))
     marked = texts.join(ids, "uid", "left_semi").select("uid", F.lit(-1).alias("start"), F.lit(-1).alias("stop"), "text")
     both = marked.unionByName(marks.select("uid", "start", "stop", none.cast("binary").alias("text"))).repartition("uid").sortWithinPartitions("uid", "start")

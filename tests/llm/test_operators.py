@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import decontam, knn, licenses, lmscore, neardup, packing, pii, quality, queries, simple8b, suffix, tokens
+from quarry.llm import common, decontam, knn, licenses, lmscore, neardup, packing, pii, quality, queries, simple8b, suffix, tokens
 
 PATH = queries.tokenizer_path()
 TEXT = "doc_id long, text string"
@@ -109,6 +109,33 @@ def test_near_duplicates_of_versions(spark):
     assert got == {1: 1, 5: 1, 7: 1, 9: 1, 11: 11}
 
 
+def test_components_and_hot_keys(spark, monkeypatch):
+    """The ways beyond the bounds of one task and of broadcasts give the same."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + i) for i in range(1, 60)] + [(2000 + i, 2001 + i) for i in range(40)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    frame_ = spark.createDataFrame(edges, "a long, b long")
+    for bound in (common.EDGES_PER_TASK, 50):
+        monkeypatch.setattr(common, "EDGES_PER_TASK", bound)
+        got = common.components(frame_, common.Workspace(spark, "test"), f"cc-{bound}").collect()
+        assert len(got) == len(linked) and {r.id: r.component for r in got} == {x: find(x) for x in linked}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common.rows_within, "__defaults__", (0,))
+    counts = common.Workspace(spark, "test").save(frame_.groupBy("a").agg(F.count("*").alias("n")), "counts")
+    joined = common.join_counted(frame_, counts, ["a"], "n", share=10).collect()
+    assert len(joined) == len(edges) and all(r.n == sum(a == r.a for a, _ in edges) for r in joined)
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(2)
     for n in (1, 3, 40, 5000):
