@@ -31,7 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = neardup.near_duplicates(docs, percent=80)
     work = Workspace(spark, "near-dedup-stage")
     gone = work.save(groups.where("NOT kept").select("doc_id"), "gone")
-    return docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
