@@ -2,18 +2,19 @@
 
 The vocabulary is shared: all words of the whole corpus, and one unknown word. Unigram, context and bigram counts of
 all documents (background) and of those marked as target are complete. Both models interpolate alike:
-p(w|h) = l * c(h,w)/c(h) + (1-l) * (c(w)+d)/(N+d*V), without the first term where h is unseen. A document's losses
-are means of -ln p over its words, and its score is target loss minus background loss: the lower, the more like the
-target.
+p(w|h) = l * c(h,w)/c(h) + (1-l) * (c(w)+d)/(N+d*V), without the first term where h is unseen. A document is left out
+of the counts that score it, so that target documents have no advantage of being known. Its losses are means of -ln p
+over its words, and its score is target loss minus background loss: the lower, the more like the target.
 
 Words, contexts and bigrams are keys alike, 64-bit hashes with their kind in the last bits. Counts grow with the
-corpus and are never gathered. Each block of documents lists its distinct keys, in buckets by hash: a bucket's lists
-are summed by one task, and its sums meet the lists again, streamed one block at a time, in as many parts as its number
-of blocks asks for; each block gets the counts of its keys back. So a key of any frequency costs a bucket one entry a
-block. The number of buckets grows with the bytes of text; the driver holds three totals only.
+corpus and are never gathered. Each block of documents (an Arrow batch, bounded by bytes) is kept as numbered words
+and lists its distinct keys, in buckets by range. The number of buckets grows with the bytes of text, so that a
+bucket's lists fit in a task: they are summed there, and each list is answered with the sums of its keys. A key of any
+frequency costs its bucket one entry a block. The driver holds three totals only. Lists and numbers travel as
+compressed byte planes of differences.
 
 Results on unusual input: documents without words (null, empty) have n_tokens 0 and null losses. Rows that share a
-doc_id are scored each; rows without doc_id as well. Without target documents the target model is uniform. An
+doc_id are scored each; rows without doc_id as well. Without other target documents the target model is uniform. An
 empty table gives an empty result.
 """
 
@@ -25,34 +26,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
-from quarry.llm.common import Workspace
+from quarry.llm.common import Workspace, give_back
 
+#: Bytes of text whose keys make one bucket.
 BUCKET_BYTES = 12_000_000
-BUCKET_KEYS = 2_000_000
-BLOCKS_PER_PART = 256
 WORD, CONTEXT, BIGRAM = (np.uint64(k) for k in range(3))
 KIND = np.uint64(3)
 #: Stands before a document's first word.
 START = np.uint64(0x5EED0F0DD)
 
 
-def _flat(batch, i: int) -> np.ndarray:
-    return np.asarray(batch.column(i).fill_null(False).to_numpy(zero_copy_only=False), np.bool_)
+def _coded(x: np.ndarray) -> bytes:
+    """Non-negative 64-bit integers as their number and compressed byte planes."""
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return x.astype("<u4" if x.max(initial=0) < 1 << 32 else "<u8").tobytes()
+def _decoded(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:4], "little")
+    planes = pa.decompress(x[4:], 8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").ravel()
 
 
-def _unpacked(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(x, "<u8" if len(x) == 8 * n else "<u4").astype(np.int64)
+def _ascending(x: np.ndarray) -> bytes:
+    return _coded(np.diff(x, prepend=np.uint64(0)))
+
+
+def _restored(x: bytes) -> np.ndarray:
+    return np.cumsum(_decoded(x), dtype=np.uint64)
 
 
 class Keys:
-    """The distinct keys of a block in order of (bucket, key), from its distinct words, words' numbers and sizes of documents."""
+    """The distinct keys of a block, ascending, from its distinct words, words' numbers and sizes of documents."""
 
     def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray, buckets: int):
         self.words, width = words.astype(np.int64), len(vocabulary) + 1
+        self.row = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
         before = np.empty_like(self.words)
         before[1:] = self.words[:-1]
         first = np.append(0, np.cumsum(sizes.astype(np.int64)))[:-1]
@@ -64,10 +73,9 @@ class Keys:
         context = textscan.mix(hashes + np.uint64(0xC0))
         made = (textscan.mix(vocabulary), context[self.contexts], textscan.mix(context[left] ^ (hashes[right] * np.uint64(0x9E3779B97F4A7C15))))
         keys = np.concatenate([(k & ~KIND) | kind for k, kind in zip(made, (WORD, CONTEXT, BIGRAM), strict=True)])
-        bucket = ((keys >> np.uint64(2)) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.lexsort((keys, bucket))
+        self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.cuts = np.searchsorted(((self.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
         self.ends = np.cumsum([len(k) for k in made])
 
     def counts(self, weights: np.ndarray) -> np.ndarray:
@@ -81,99 +89,97 @@ class Keys:
         plain[self.order] = values
         return [x[k] for x, k in zip(np.split(plain, self.ends[:-1]), (self.words, self.before, self.pairs), strict=True)]
 
+    def own(self) -> list[np.ndarray]:
+        """How often each place's word, context and bigram occurs in its own document."""
+        out = []
+        for k in (self.words, self.before, self.pairs):
+            _, place, n = np.unique(self.row * (k.max(initial=0) + 1) + k, return_inverse=True, return_counts=True)
+            out.append(n[place])
+        return out
 
-BLOCKS = "block long, bucket int, keys binary, n binary, t binary, words binary, sizes binary"
-_BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("keys", "n", "t", "words", "sizes"))])
 
+BLOCKS = "block long, ids binary, known binary, target binary, vocabulary binary, words binary, sizes binary"
 
-def _list_keys(buckets: int):
-    """Rows of each block and bucket: keys and their counts n and t. Bucket -1 has the block's documents: distinct words as
-    keys, ids as n, whether there is one as t, all words' numbers, and the documents' numbers of words."""
 
-    def run(batches):
-        from pyspark import TaskContext
+def _flags(column) -> np.ndarray:
+    return np.asarray(column.fill_null(False).to_numpy(zero_copy_only=False), np.bool_)
 
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            marked, ids, hashes, sizes = _flat(batch, 1), batch.column(2), [], []
-            if not len(ids):
-                continue
-            for _, data, offsets in textscan.slices(ids, batch.column(0)):
-                h, _, _, first = textscan.words(data, offsets)
-                hashes.append(h)
-                sizes.append(np.diff(first))
-            size = np.concatenate(sizes)
-            vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
-            own = Keys(vocabulary, words, size, buckets)
-            n, t = own.counts(np.ones(len(words))), own.counts(np.repeat(marked, size).astype(np.float64))
-            out: list[list] = [[] for _ in _BLOCKS]
-            known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8)
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            rows = [(block, -1, vocabulary.astype("<u8").tobytes(), ids.astype("<i8").tobytes(), known.tobytes(), words.astype("<u4").tobytes(), size.astype("<u4").tobytes())]
-            for b in np.flatnonzero(np.diff(own.cuts)).tolist():
-                some = slice(own.cuts[b], own.cuts[b + 1])
-                rows.append((block, b, own.keys[some].astype("<u8").tobytes(), n[some].astype("<u4").tobytes(), t[some].astype("<u4").tobytes(), None, None))
-            for row in rows:
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _BLOCKS, strict=True)], schema=_BLOCKS)
-            block += 1
 
-    return run
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-SUMS = "bucket int, keys binary, n binary, t binary, distinct long, total_n long, total_t long"
+def _number(batches):
+    """A row per block: its documents, its distinct words, and all words' numbers."""
+    from pyspark import TaskContext
 
+    schema = pa.schema([("block", pa.int64()), *((x, pa.binary()) for x in ("ids", "known", "target", "vocabulary", "words", "sizes"))])
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        ids, hashes, sizes = batch.column(2), [], []
+        if not len(ids):
+            continue
+        for _, data, offsets in textscan.slices(ids, batch.column(0)):
+            h, _, _, first = textscan.words(data, offsets)
+            hashes.append(h)
+            sizes.append(np.diff(first))
+        vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
+        known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8)
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        yield _table([(block, _coded(ids.view("<u8")), known.tobytes(), _flags(batch.column(1)).tobytes(), _ascending(vocabulary), _coded(words), _coded(np.concatenate(sizes)))], schema)
+        block += 1
 
-def _sum_keys():
-    """Rows come ordered by bucket; one row of sorted keys and summed counts for each, with the words' number and sums."""
-    schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("keys", "n", "t")), *((x, pa.int64()) for x in ("distinct", "total_n", "total_t"))])
 
-    def merged(parts):
-        keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, *(np.bincount(place, np.concatenate([p[j] for p in parts]), len(keys)).astype(np.int64) for j in (1, 2))
+def _of_block(vocabulary: bytes, words: bytes, sizes: bytes, buckets: int) -> tuple[Keys, np.ndarray]:
+    size = _decoded(sizes).astype(np.int64)
+    return Keys(_restored(vocabulary), _decoded(words), size, buckets), size
 
-    def row(bucket, parts):
-        keys, n, t = merged(parts)
-        word = (keys & KIND) == WORD
-        values = (bucket, keys.astype("<u8").tobytes(), _packed(n), _packed(t), int(word.sum()), int(n[word].sum()), int(t[word].sum()))
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
+
+def _list_keys(buckets: int):
+    """Rows of each block and bucket: keys and their counts n (all documents) and t (target documents)."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("keys", "n", "t"))])
 
     def run(batches):
-        held, parts, waiting = None, [], 0
         for batch in batches:
-            for bucket, k, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != held:
-                    if parts:
-                        yield row(held, parts)
-                    held, parts, waiting = bucket, [], 0
-                parts.append((np.frombuffer(k, "<u8"), *(np.frombuffer(x, "<u4") for x in (n, t))))
-                waiting += len(parts[-1][0])
-                if waiting > BUCKET_KEYS:
-                    parts, waiting = [merged(parts)], 0
-        if parts:
-            yield row(held, parts)
+            for block, target, vocabulary, words, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, size = _of_block(vocabulary, words, sizes, buckets)
+                n, t = own.counts(np.ones(len(own.words))), own.counts(np.repeat(np.frombuffer(target, np.bool_), size).astype(np.float64))
+                parts = [(b, slice(own.cuts[b], own.cuts[b + 1])) for b in np.flatnonzero(np.diff(own.cuts)).tolist()]
+                yield _table([(block, b, _ascending(own.keys[x]), _coded(n[x]), _coded(t[x])) for b, x in parts], schema)
 
     return run
 
 
-def _look_up():
-    """Rows come ordered by (bucket, part, role): the bucket's sums, then blocks' lists. The sums of each list's keys."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("t", pa.binary())])
+ANSWERS = "block long, bucket int, n binary, t binary, distinct long, total_n long, total_t long"
+
+
+def _answer():
+    """Rows come ordered by bucket. Each list of keys is answered with their sums; the first also tells the bucket's words."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("t", pa.binary()), *((x, pa.int64()) for x in ("distinct", "total_n", "total_t"))])
+
+    def answers(bucket, lists):
+        keys, place = np.unique(np.concatenate([x[1] for x in lists]), return_inverse=True)
+        n, t = (np.bincount(place, np.concatenate([x[j] for x in lists]), len(keys)).astype(np.int64) for j in (2, 3))
+        word = (keys & KIND) == WORD
+        totals = (int(word.sum()), int(n[word].sum()), int(t[word].sum()))
+        rows, at = [], 0
+        for block, own, *_ in lists:
+            some = place[at : at + len(own)]
+            rows.append((block, bucket, _coded(n[some]), _coded(t[some]), *(totals if not at else (None,) * 3)))
+            at += len(own)
+        return _table(rows, schema)
 
     def run(batches):
-        keys = sums = None
+        held, lists = None, []
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for role, block, bucket, k, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(k, "<u8")
-                if role == 0:
-                    keys, sums = own, [_unpacked(x, len(own)) for x in (n, t)]
-                    continue
-                at = np.searchsorted(keys, own)
-                for column, value in zip(out, (block, bucket, *(_packed(x[at]) for x in sums)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+            for block, bucket, keys, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != held:
+                    if lists:
+                        yield answers(held, lists)
+                    held, lists = bucket, []
+                lists.append((block, _restored(keys), _decoded(n).astype(np.uint32), _decoded(t).astype(np.uint32)))
+        if lists:
+            yield answers(held, lists)
 
     return run
 
@@ -182,29 +188,29 @@ def _score(buckets: int, totals: list[int], size: int, weight: float, extra: flo
     """Rows come ordered by (block, bucket): the block's documents, then the sums of its keys."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("background_loss", pa.float64()), ("target_loss", pa.float64())])
 
-    def row(own, ids, known, sizes, counts):
-        doc, mean = np.repeat(np.arange(len(sizes)), sizes), []
-        for values, total in zip(counts, totals, strict=True):
-            word, context, pair = own.by_place(values)
-            plain = (word + extra) / (total + extra * size)
+    def row(keys, ids, known, target, sizes, counts):
+        own, mean = keys.own(), []
+        for values, total, left_out in zip(counts, totals, (np.ones(len(sizes), np.int64), target.astype(np.int64)), strict=True):
+            mine = left_out[keys.row]
+            word, context, pair = (x - mine * o for x, o in zip(keys.by_place(values), own, strict=True))
+            plain = (word + extra) / ((total - left_out * sizes)[keys.row] + extra * size)
             loss = -np.log(np.where(context > 0, weight * pair / np.maximum(context, 1) + (1 - weight) * plain, plain))
-            mean.append(np.bincount(doc, loss, len(sizes)) / np.maximum(sizes, 1))
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sizes.astype(np.int64)), *(pa.array(np.round(x, 9), mask=sizes == 0) for x in mean)], schema=schema)
+            mean.append(np.bincount(keys.row, loss, len(sizes)) / np.maximum(sizes, 1))
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sizes), *(pa.array(np.round(x, 9), mask=sizes == 0) for x in mean)], schema=schema)
 
     def run(batches):
         held, state = None, None
         for batch in batches:
-            for block, bucket, keys, n, t, words, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, bucket, n, t, ids, known, target, vocabulary, words, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket < 0:
                     if state:
                         yield row(*state)
-                    size_ = np.frombuffer(sizes, "<u4")
-                    own = Keys(np.frombuffer(keys, "<u8"), np.frombuffer(words, "<u4"), size_, buckets)
-                    held, state = block, (own, np.frombuffer(n, "<i8"), np.frombuffer(t, np.uint8), size_, np.zeros((2, len(own.keys)), np.int64))
+                    own, size_ = _of_block(vocabulary, words, sizes, buckets)
+                    held, state = block, (own, _decoded(ids).view("<i8"), np.frombuffer(known, np.uint8), np.frombuffer(target, np.bool_), size_, np.zeros((2, len(own.keys)), np.int64))
                 else:
                     assert block == held
                     a, b = state[0].cuts[bucket : bucket + 2]
-                    state[4][:, a:b] = [_unpacked(x, b - a) for x in (n, t)]
+                    state[5][:, a:b] = [_decoded(x) for x in (n, t)]
         if state:
             yield row(*state)
 
@@ -213,25 +219,18 @@ def _score(buckets: int, totals: list[int], size: int, weight: float, extra: flo
 
 def cross_entropy_difference(docs: DataFrame, weight: float = 0.7, extra: float = 0.5) -> DataFrame:
     """doc_id, n_tokens, background_loss, target_loss and difference of every row. docs: doc_id, text, is_target."""
-    work = Workspace(docs.sparkSession, "lmscore")
+    spark = docs.sparkSession
+    work = Workspace(spark, "lmscore")
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("is_target").cast("boolean"), F.lit(False)).alias("is_target"), F.col("doc_id").cast("long").alias("doc_id"))
     buckets = int(max(16, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    lists = rows.mapInArrow(_list_keys(buckets), BLOCKS)
-    lists.write.option("compression", "zstd").parquet(work.path("lists"))
-    lists = docs.sparkSession.read.schema(lists.schema).parquet(work.path("lists"))
-    listed = lists.where("bucket >= 0")
-    sums = work.save(listed.select("bucket", "keys", "n", "t").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_keys(), SUMS), "sums")
-    distinct, *totals = (x or 0 for x in sums.agg(F.sum("distinct"), F.sum("total_n"), F.sum("total_t")).first())
-
-    blocks = lists.where("bucket < 0").count()
-    parts = max(1, -(-blocks // BLOCKS_PER_PART))
-    none = F.lit(None).cast("binary")
-    held = sums.select(F.lit(0).alias("role"), F.lit(None).cast("long").alias("block"), "bucket", "keys", "n", "t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = listed.select(F.lit(1).alias("role"), "block", "bucket", "keys", none.alias("n"), none.alias("t"), F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"))
-    met = held.unionByName(asked).repartition(buckets * parts, "bucket", "part").sortWithinPartitions("bucket", "part", "role")
-    found = met.drop("part").mapInArrow(_look_up(), "block long, bucket int, n binary, t binary")
-    own = lists.where("bucket < 0")
-    back = found.select("block", "bucket", none.alias("keys"), "n", "t", none.alias("words"), none.alias("sizes"))
-    score = _score(buckets, totals, distinct + 1, weight, extra)
-    done = own.unionByName(back).repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(score, "doc_id long, n_tokens long, background_loss double, target_loss double")
+    blocks = work.save(rows.mapInArrow(_number, BLOCKS), "blocks")
+    listed = blocks.select("block", "target", "vocabulary", "words", "sizes").mapInArrow(_list_keys(buckets), "block long, bucket int, keys binary, n binary, t binary")
+    answered = work.save(listed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(), ANSWERS), "answers")
+    give_back(spark)
+    distinct, *totals = (x or 0 for x in answered.agg(F.sum("distinct"), F.sum("total_n"), F.sum("total_t")).first())
+
+    own = blocks.select("block", F.lit(-1).alias("bucket"), *(F.lit(None).cast("binary").alias(x) for x in "nt"), *blocks.columns[1:])
+    back = answered.select("block", "bucket", "n", "t", *(F.lit(None).cast("binary").alias(x) for x in blocks.columns[1:]))
+    met = own.unionByName(back).repartition("block").sortWithinPartitions("block", "bucket")
+    done = met.mapInArrow(_score(buckets, totals, distinct + 1, weight, extra), "doc_id long, n_tokens long, background_loss double, target_loss double")
     return done.withColumn("difference", F.round(F.col("target_loss") - F.col("background_loss"), 9))

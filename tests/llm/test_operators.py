@@ -366,6 +366,18 @@ def test_align():
         assert decontam.align(np.array(a), np.array(b))[0] == h.max()
 
 
+def left_out_loss(ws, inside, uni, bi, ctx, total, size, start=0):
+    """Mean loss of a document; inside: the counts hold it, and are taken without it."""
+    own_uni, own_bi, own_ctx = collections.Counter(ws), collections.Counter(zip([start, *ws], ws)), collections.Counter([start, *ws[:-1]])
+    less = (lambda c, own, key: c[key] - own[key]) if inside else (lambda c, own, key: c[key])
+    loss = 0.0
+    for h, w in zip([start, *ws], ws):
+        p = (less(uni, own_uni, w) + 0.5) / (total - inside * len(ws) + 0.5 * size)
+        c = less(ctx, own_ctx, h)
+        loss -= math.log(0.7 * less(bi, own_bi, (h, w)) / c + 0.3 * p if c else p)
+    return loss / len(ws)
+
+
 def test_lm_scores(spark):
     rng = random.Random(11)
     docs = [(i, t, bool(i % 3)) for i, t in enumerate([*ODD, *(prose(rng, 60) for _ in range(40))])]
@@ -384,11 +396,7 @@ def test_lm_scores(spark):
             if not ws:
                 assert got[i][name] is None and got[i].n_tokens == 0
                 continue
-            loss = 0.0
-            for h, w in zip([0, *ws], ws):
-                p = (uni[w] + 0.5) / (total + 0.5 * size)
-                loss -= math.log(0.7 * bi[h, w] / ctx[h] + 0.3 * p if ctx[h] else p)
-            assert abs(got[i][name] - loss / len(ws)) < 1e-6
+            assert abs(got[i][name] - left_out_loss(ws, docs[i][2] or not k, uni, bi, ctx, total, size)) < 1e-6
     assert lmscore.cross_entropy_difference(df.limit(0)).count() == 0
 
 
@@ -410,11 +418,16 @@ def test_lm_scores_of_many_words(spark):
                 ctx.update(["", *words[i][:-1]])
         total = sum(uni.values())
         for i, ws in words.items():
-            loss = 0.0
-            for h, w in zip(["", *ws], ws):
-                p = (uni[w] + 0.5) / (total + 0.5 * size)
-                loss -= math.log(0.7 * bi[h, w] / ctx[h] + 0.3 * p if ctx[h] else p)
-            assert abs(got[i][name] - loss / len(ws)) < 1e-6
+            assert abs(got[i][name] - left_out_loss(ws, docs[i][2] or not k, uni, bi, ctx, total, size, "")) < 1e-6
+    mean = [np.mean([r.difference for i, r in got.items() if i > 1 and i % 2 == k]) for k in (0, 1)]
+    assert abs(mean[0] - mean[1]) < 0.15, mean  # being a target document is no advantage by itself
+
+
+def test_lm_scores_of_repeated_and_missing_ids(spark):
+    rows = [(None, "a b c", True), (1, "a b c", True), (1, "a b c", True), (2, None, True)]
+    got = lmscore.cross_entropy_difference(spark.createDataFrame(rows, TEXT + ", is_target boolean")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 3), ("1", 3), ("2", 0), ("None", 3)]
+    assert len({r.target_loss for r in got if r.n_tokens}) == 1
 
 
 def test_quality(spark):
