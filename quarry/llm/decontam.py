@@ -1,13 +1,16 @@
-"""Benchmark decontamination: seeds of word pairs, counted exactly, and Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, and Smith-Waterman alignment scores them.
 
 Test items come in blocks of a bounded size (`block_bytes` of text), each held by every worker. Documents are
-scanned once a block. A passage's score is the best local alignment's share of a full match (match 2, mismatch and
-gap -1). An alignment with M matches that reaches `least` of an item of m words has at most 2M - 2*least*m errors, so
-at least least*m - 1 of its neighbouring matches have one error or none between them: their words are one or two
-places apart in item and passage, whatever was replaced, put in or left out. All such pairs of an item are its seeds
-(single words where least*m is 1 or less). A passage is aligned wherever so many places within the longest span of
-an alignment have a seed, and the sums of its words' best contributions can reach `least`. Both are bounds: no
-passage that scores `least` is missed, however dense its edits are, and none is left out for being frequent.
+scanned twice a block: to count the seeds, and to join. A passage's score is the best local alignment's share of a
+full match (match 2, mismatch and gap -1). An alignment with M matches that reaches `least` of an item of m words has
+at most 2M - 2*least*m errors, so at least least*m - 1 of its neighbouring matches have one error or none between them:
+their words are one or two places apart in item and passage, whatever was replaced, put in or left out. So the seeds
+are an item's pairs of words one or two places apart (single words where least*m is 1 or less), and an alignment
+has so many of the item's places at least. The most frequent places, as counted in all documents, are left out, one
+fewer than an alignment has: it holds at least one of the others, the rare ones, and only these join. Around a rare
+seed a passage is aligned if so many places within the longest span of an alignment have any seed, and the sums of its
+words' best contributions can reach `least`. All are bounds: no passage that scores `least` is missed, however dense
+its edits are. (Longer n-grams would miss dense edits.)
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lowered.
 
@@ -37,7 +40,7 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of test items: word numbers, and the seeds with their items (those of seed k are of[at[k]:at[k + 1]])."""
+    """A block of test items: word numbers, their seeds, and the rare seeds with their items."""
 
     def __init__(self, rows: list[tuple[int, str]], least: float):
         self.ids, hashes = [], []
@@ -51,25 +54,41 @@ class Items:
         self.words = [np.searchsorted(self.vocabulary, h).astype(np.int32) for h in hashes]
         size = np.array([len(w) for w in self.words], np.int64)
         share = least * size
-        single = share <= 1
+        self.single = share <= 1
         #: Places with a seed that an alignment has at least, and words of a passage it spans at most.
-        self.need = np.where(single, 1, np.maximum(1, np.ceil(share - 1 - 1e-9))).astype(np.int64)
+        self.need = np.where(self.single, 1, np.maximum(1, np.ceil(share - 1 - 1e-9))).astype(np.int64)
         self.span = np.ceil(3 * size - 2 * share).astype(np.int64) + 1
+        self.own = [np.unique(np.concatenate(self._places(i))) for i in range(len(self.words))]
+        self.seeds = np.unique(np.concatenate(self.own)) if self.own else np.zeros(0, np.int64)
+        self.rare, self.of, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def _places(self, i: int) -> list[np.ndarray]:
+        """Seeds of the item's places: single words, or the pairs one and two places apart that begin there."""
+        w = self.words[i]
+        return [-1 - w.astype(np.int64)] if self.single[i] else [_pair(w[:-d], w[d:]) for d in (1, 2)]
+
+    def choose(self, counts: np.ndarray) -> None:
+        """The rare seeds, from how often each seed occurs in all documents. Seeds that occur nowhere join nothing."""
         seeds, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(self.words):
-            own = np.unique(-1 - w.astype(np.int64) if single[i] else np.concatenate([_pair(w[:-d], w[d:]) for d in (1, 2)]))
+            parts = self._places(i)
+            often = np.zeros(len(w), np.int64)
+            for part in parts:
+                often[: len(part)] += counts[np.searchsorted(self.seeds, part)]
+            kept = np.argsort(often, kind="stable")[: len(w) - int(self.need[i]) + 1]
+            own = np.unique(np.concatenate([part[kept[kept < len(part)]] for part in parts]))
+            own = own[counts[np.searchsorted(self.seeds, own)] > 0]
             seeds.append(own)
             items.append(np.full(len(own), i))
         every, of = np.concatenate(seeds), np.concatenate(items)
         order = np.argsort(every, kind="stable")
         self.of = of[order]
-        self.seeds, first = np.unique(every[order], return_index=True)
+        self.rare, first = np.unique(every[order], return_index=True)
         self.at = np.append(first, len(every))
 
 
-def _candidates(items: Items, number: np.ndarray, first: np.ndarray, seeds: pa.Array):
-    """(row, item, low, high): passages of rows with enough seeds of the item. number: all rows' words, -1 if in no item."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+def _hits(number: np.ndarray, row: np.ndarray, seeds: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(place, seed) of all seeds in the rows, ascending by place. number: the words, -1 if in no item."""
     places, found = [], []
     for d in (0, 1, 2):
         n = max(0, len(number) - d)
@@ -77,10 +96,27 @@ def _candidates(items: Items, number: np.ndarray, first: np.ndarray, seeds: pa.A
         key = _pair(number[some], number[some + d]) if d else -1 - number[some].astype(np.int64)
         known = pc.fill_null(pc.index_in(pa.array(key), value_set=seeds), -1).to_numpy(zero_copy_only=False)
         places.append(some[known >= 0])
-        found.append(known[known >= 0])
+        found.append(known[known >= 0].astype(np.int64))
     place, found = np.concatenate(places), np.concatenate(found)
     order = np.argsort(place, kind="stable")
-    place, found = place[order], found[order]
+    return place[order], found[order]
+
+
+def _enough(own: np.ndarray, number: np.ndarray, need: int, span: int) -> bool:
+    """Whether so many places within the span have a seed of the item."""
+    has = np.zeros(len(number), np.bool_)
+    for d in (0, 1, 2):
+        n = max(0, len(number) - d)
+        key = _pair(number[:n], number[d:]) if d else -1 - number.astype(np.int64)
+        has[:n] |= (number[:n] >= 0) & (number[d:] >= 0) & np.isin(key, own)
+    where = np.flatnonzero(has)
+    return len(where) >= need and bool((where[need - 1 :] - where[: len(where) - need + 1] <= span).any())
+
+
+def _candidates(items: Items, number: np.ndarray, first: np.ndarray, rare: pa.Array):
+    """(row, item, low, high): passages of rows with a rare seed of the item and enough seeds around it."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place, found = _hits(number, row, rare)
     size = items.at[found + 1] - items.at[found]
     sums, ends, at = np.append(0, np.cumsum(size)), np.searchsorted(place, first), 0
     while at < len(first) - 1:  # whole rows
@@ -91,23 +127,16 @@ def _candidates(items: Items, number: np.ndarray, first: np.ndarray, seeds: pa.A
         if not total:
             continue
         item = items.of[np.repeat(items.at[found[a:b]] - (sums[a:b] - sums[a]), size[a:b]) + np.arange(total)]
-        hit = np.unique(item * np.int64(len(number)) + np.repeat(place[a:b], size[a:b]))
-        item, where = np.divmod(hit, len(number))
-        group = item * np.int64(len(first)) + row[where]
-        last = np.arange(total)[: len(hit)] + items.need[item] - 1
-        inside = np.minimum(last, len(hit) - 1)
-        enough = (last < len(hit)) & (group[inside] == group) & (where[inside] - where <= items.span[item])
-        begin = np.flatnonzero(enough)
-        if not len(begin):
-            continue
-        end = inside[begin]
-        # windows of one row and item that an alignment could join are one passage
-        new = np.append(True, (group[begin[1:]] != group[begin[:-1]]) | (where[begin[1:]] - where[end[:-1]] > items.span[item[begin[1:]]]))
+        item, where = np.divmod(np.unique(item * np.int64(len(number)) + np.repeat(place[a:b], size[a:b])), len(number))
+        reach = items.span[item] + 2
+        # hits that one alignment could span are one passage
+        new = np.append(True, (item[1:] != item[:-1]) | (row[where[1:]] != row[where[:-1]]) | (where[1:] - where[:-1] > 2 * reach[1:]))
         starts = np.flatnonzero(new)
-        for f, g in zip(starts, np.append(starts[1:], len(begin)) - 1, strict=True):
-            k, r = int(item[begin[f]]), int(row[where[begin[f]]])
-            reach = int(items.span[k]) + 2
-            yield r, k, max(int(first[r]), int(where[begin[f]]) - reach), min(int(first[r + 1]), int(where[end[g]]) + reach)
+        for f, g in zip(starts.tolist(), (np.append(starts[1:], len(item)) - 1).tolist(), strict=True):
+            k, r = int(item[f]), int(row[where[f]])
+            low, high = max(int(first[r]), int(where[f] - reach[f])), min(int(first[r + 1]), int(where[g] + reach[f]))
+            if _enough(items.own[k], number[low:high], int(items.need[k]), int(items.span[k])):
+                yield r, k, low, high
 
 
 def _most(good: np.ndarray) -> int:
@@ -131,9 +160,28 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _counted(vocabulary: np.ndarray, seeds: np.ndarray):
+    """How often each seed, by its number, occurs in a batch."""
+    schema = pa.schema([("seed", pa.int64()), ("n", pa.int64())])
+    vocabulary, seeds = pa.array(vocabulary), pa.array(seeds)
+
+    def run(batches):
+        for batch in batches:
+            total = np.zeros(len(seeds), np.int64)
+            for _, data, offsets in textscan.slices(batch.column(0), batch.column(1)):
+                h, _, _, first = textscan.words(data, offsets, textscan.MARKS)
+                number = pc.fill_null(pc.index_in(pa.array(h), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                _, found = _hits(number, np.repeat(np.arange(len(first) - 1), np.diff(first)), seeds)
+                total += np.bincount(found, minlength=len(seeds))
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], schema=schema)
+
+    return run
+
+
 def _aligned(items: Items, least: float):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
-    vocabulary, seeds = pa.array(items.vocabulary), pa.array(items.seeds)
+    vocabulary, rare = pa.array(items.vocabulary), pa.array(items.rare)
 
     def run(batches):
         for batch in batches:
@@ -141,7 +189,7 @@ def _aligned(items: Items, least: float):
             for ids, data, offsets in textscan.slices(batch.column(0), batch.column(1)):
                 h, _, _, first = textscan.words(data, offsets, textscan.MARKS)
                 number = pc.fill_null(pc.index_in(pa.array(h), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-                for row, item, low, high in _candidates(items, number, first, seeds):
+                for row, item, low, high in _candidates(items, number, first, rare):
                     own, passage, a = items.words[item], number[low:high], int(first[row])
                     full = MATCH * len(own)
                     if min(_most(np.isin(passage, own)), _most(np.isin(own, passage))) / full < least:
@@ -171,6 +219,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, bloc
     for b in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         items = Items(sorted((r.item_id, r.text) for r in rows), least)
+        counted = texts.mapInArrow(_counted(items.vocabulary, items.seeds), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # a row per seed of the block
+        counts = np.zeros(len(items.seeds), np.int64)
+        counts[counted["seed"].to_numpy()] = counted["n"].to_numpy()
+        items.choose(counts)
         parts.append(work.save(texts.mapInArrow(_aligned(items, least), "doc_id long, item_id long, score double, start_word long, end_word long"), f"aligned-{b}"))
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")

@@ -330,10 +330,11 @@ def test_decontamination(spark):
     assert decontam.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
 
 
-def test_decontamination_dense_edits(spark):
-    """Every document and item against brute force; edits leave few or no intact n-grams."""
+@pytest.mark.parametrize("vocabulary", [3000, 40])
+def test_decontamination_dense_edits(spark, vocabulary):
+    """Every document and item against brute force; edits leave few or no intact n-grams, or pairs of words are frequent."""
     rng = random.Random(12)
-    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 2, 3, 6, 30, 60])))) for i in range(30)]
+    items = [(i, "which of the following " * (i % 3 == 0) + " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(rng.choice([1, 2, 3, 6, 30, 60])))) for i in range(30)]
     texts = []
     for _, t in items:
         for every in (3, 4, 5, 8):
