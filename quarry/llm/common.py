@@ -20,7 +20,11 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/quarry"
 MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "8388608"}
 
 
-def prepare(spark: SparkSession) -> None:
+#: Bytes of an Arrow batch, unless an operator asks for others.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Let Python workers find this package, and keep their Arrow batches small.
 
     Batches are cut by bytes, so that one with very long texts stays within a worker's memory.
@@ -29,7 +33,7 @@ def prepare(spark: SparkSession) -> None:
     if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
     env |= {k: v for k, v in MEMORY.items() if k not in env}
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -62,7 +66,14 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        """Write df and read it again. The shuffle files that writing it took go at once."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        kept = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(key) if kept is None else self.spark.conf.set(key, kept)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

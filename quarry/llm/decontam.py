@@ -58,9 +58,11 @@ class Items:
         #: Places with a seed that an alignment has at least, and words of a passage it spans at most.
         self.need = np.where(self.single, 1, np.maximum(1, np.ceil(share - 1 - 1e-9))).astype(np.int64)
         self.span = np.ceil(3 * size - 2 * share).astype(np.int64) + 1
-        self.own = [np.unique(np.concatenate(self._places(i))) for i in range(len(self.words))]
-        self.seeds = np.unique(np.concatenate(self.own)) if self.own else np.zeros(0, np.int64)
-        self.rare, self.of, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        own = [np.unique(np.concatenate(self._places(i))) for i in range(len(self.words))]
+        self.seeds = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+        #: Numbers of each item's seeds; of the rare ones, what items have seed k is of[at[k]:at[k + 1]].
+        self.own = [np.searchsorted(self.seeds, x) for x in own]
+        self.of, self.at = np.zeros(0, np.int64), np.zeros(len(self.seeds) + 1, np.int64)
 
     def _places(self, i: int) -> list[np.ndarray]:
         """Seeds of the item's places: single words, or the pairs one and two places apart that begin there."""
@@ -76,15 +78,13 @@ class Items:
             for part in parts:
                 often[: len(part)] += counts[np.searchsorted(self.seeds, part)]
             kept = np.argsort(often, kind="stable")[: len(w) - int(self.need[i]) + 1]
-            own = np.unique(np.concatenate([part[kept[kept < len(part)]] for part in parts]))
-            own = own[counts[np.searchsorted(self.seeds, own)] > 0]
+            own = np.unique(np.searchsorted(self.seeds, np.concatenate([part[kept[kept < len(part)]] for part in parts])))
+            own = own[counts[own] > 0]
             seeds.append(own)
             items.append(np.full(len(own), i))
         every, of = np.concatenate(seeds), np.concatenate(items)
-        order = np.argsort(every, kind="stable")
-        self.of = of[order]
-        self.rare, first = np.unique(every[order], return_index=True)
-        self.at = np.append(first, len(every))
+        self.of = of[np.argsort(every, kind="stable")]
+        self.at = np.searchsorted(np.sort(every), np.arange(len(self.seeds) + 1))
 
 
 def _hits(number: np.ndarray, row: np.ndarray, seeds: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,21 +102,19 @@ def _hits(number: np.ndarray, row: np.ndarray, seeds: pa.Array) -> tuple[np.ndar
     return place[order], found[order]
 
 
-def _enough(own: np.ndarray, number: np.ndarray, need: int, span: int) -> bool:
+def _enough(own: np.ndarray, place: np.ndarray, found: np.ndarray, need: int, span: int) -> bool:
     """Whether so many places within the span have a seed of the item."""
-    has = np.zeros(len(number), np.bool_)
-    for d in (0, 1, 2):
-        n = max(0, len(number) - d)
-        key = _pair(number[:n], number[d:]) if d else -1 - number.astype(np.int64)
-        has[:n] |= (number[:n] >= 0) & (number[d:] >= 0) & np.isin(key, own)
-    where = np.flatnonzero(has)
+    where = place[own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found]
+    where = where[np.append(True, where[1:] != where[:-1])] if len(where) else where
     return len(where) >= need and bool((where[need - 1 :] - where[: len(where) - need + 1] <= span).any())
 
 
-def _candidates(items: Items, number: np.ndarray, first: np.ndarray, rare: pa.Array):
+def _candidates(items: Items, number: np.ndarray, first: np.ndarray, seeds: pa.Array):
     """(row, item, low, high): passages of rows with a rare seed of the item and enough seeds around it."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    place, found = _hits(number, row, rare)
+    every, seed = _hits(number, row, seeds)
+    rare = np.flatnonzero(items.at[seed + 1] > items.at[seed])
+    place, found = every[rare], seed[rare]
     size = items.at[found + 1] - items.at[found]
     sums, ends, at = np.append(0, np.cumsum(size)), np.searchsorted(place, first), 0
     while at < len(first) - 1:  # whole rows
@@ -135,7 +133,8 @@ def _candidates(items: Items, number: np.ndarray, first: np.ndarray, rare: pa.Ar
         for f, g in zip(starts.tolist(), (np.append(starts[1:], len(item)) - 1).tolist(), strict=True):
             k, r = int(item[f]), int(row[where[f]])
             low, high = max(int(first[r]), int(where[f] - reach[f])), min(int(first[r + 1]), int(where[g] + reach[f]))
-            if _enough(items.own[k], number[low:high], int(items.need[k]), int(items.span[k])):
+            i, j = np.searchsorted(every, [low, high])
+            if _enough(items.own[k], every[i:j], seed[i:j], int(items.need[k]), int(items.span[k])):
                 yield r, k, low, high
 
 
@@ -181,7 +180,7 @@ def _counted(vocabulary: np.ndarray, seeds: np.ndarray):
 
 def _aligned(items: Items, least: float):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
-    vocabulary, rare = pa.array(items.vocabulary), pa.array(items.rare)
+    vocabulary, seeds = pa.array(items.vocabulary), pa.array(items.seeds)
 
     def run(batches):
         for batch in batches:
@@ -189,7 +188,7 @@ def _aligned(items: Items, least: float):
             for ids, data, offsets in textscan.slices(batch.column(0), batch.column(1)):
                 h, _, _, first = textscan.words(data, offsets, textscan.MARKS)
                 number = pc.fill_null(pc.index_in(pa.array(h), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-                for row, item, low, high in _candidates(items, number, first, rare):
+                for row, item, low, high in _candidates(items, number, first, seeds):
                     own, passage, a = items.words[item], number[low:high], int(first[row])
                     full = MATCH * len(own)
                     if min(_most(np.isin(passage, own)), _most(np.isin(own, passage))) / full < least:

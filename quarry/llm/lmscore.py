@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
-from quarry.llm.common import Workspace, give_back
+from quarry.llm.common import Workspace, give_back, prepare
 
 #: Bytes of text whose keys make one bucket.
 BUCKET_BYTES = 12_000_000
+#: Bytes of text of a block, about: the larger, the fewer keys are listed.
+BLOCK_BYTES = 12 << 20
 WORD, CONTEXT, BIGRAM = (np.uint64(k) for k in range(3))
 KIND = np.uint64(3)
 #: Stands before a document's first word.
@@ -223,7 +225,9 @@ def cross_entropy_difference(docs: DataFrame, weight: float = 0.7, extra: float
     work = Workspace(spark, "lmscore")
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("is_target").cast("boolean"), F.lit(False)).alias("is_target"), F.col("doc_id").cast("long").alias("doc_id"))
     buckets = int(max(16, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    prepare(spark, BLOCK_BYTES)  # while blocks are made
     blocks = work.save(rows.mapInArrow(_number, BLOCKS), "blocks")
+    prepare(spark)
     listed = blocks.select("block", "target", "vocabulary", "words", "sizes").mapInArrow(_list_keys(buckets), "block long, bucket int, keys binary, n binary, t binary")
     answered = work.save(listed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(), ANSWERS), "answers")
     give_back(spark)

@@ -15,7 +15,7 @@ _RNG = np.random.default_rng(0x5EED)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

@@ -69,7 +69,7 @@ class _Table:
 class Encoder:
     """Ids of texts. words: about how many the memo holds before it starts anew; ids don't depend on it."""
 
-    def __init__(self, path: str, words: int = 600_000, recent: int = 60_000):
+    def __init__(self, path: str, words: int = 400_000, recent: int = 50_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
