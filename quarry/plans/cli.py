@@ -25,7 +25,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     p.add_argument("-q", "--query")
     p.add_argument("-f", "--format", type=str.lower, choices=["text", "json", "quiet"])
     p.add_argument("--quiet", action="store_true")
-    p.add_argument("-l", "--limit", type=int)
+    p.add_argument("-l", "--limit")
     for name in ("namespace", "class", "http-method", "file-pattern"):
         p.add_argument(f"--{name}")
     try:
@@ -36,10 +36,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     store = Store(spark, a.store)
     if a.mode == "index":
         return indexing.index(store, a.path or ".")
+    if a.mode != "watch" and store.version() is None:
+        print(f"There is no index in {a.store}; run --mode index first.", file=sys.stderr)
+        return 1
     store.ensure()
     if a.mode == "watch":
         return watch(store, a.path or ".")
-    options = SearchOptions(display_count=a.limit) if a.limit and a.limit > 0 else SearchOptions()
+    limit = int(a.limit) if (a.limit or "").isdecimal() else 0  # what is no number counts as none given
+    options = SearchOptions(display_count=limit) if limit > 0 else SearchOptions()
     if a.mode == "mcp":
         Server(store, HashingEmbedder()).serve(sys.stdin, out)
         return 0
@@ -48,9 +52,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     for query in [a.query] if a.query else iter(lambda: input("> ").strip(), ""):
         if query == "quit":
             break
-        text = show(search(store, query, HashingEmbedder(), options, where))
-        if text:
+        found = search(store, query, HashingEmbedder(), options, where)
+        if text := show(found):
             print(text, file=out)
+        if a.query and not found.results:
+            return 1
     return 0
 
 

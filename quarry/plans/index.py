@@ -34,7 +34,7 @@ def index(store: Store, directory: str, make: Callable[[], files.Embedder] = fil
         return ERROR
     store.ensure()
     present = files.listing(spark, directory)
-    store.delete_missing(present)
+    store.delete_missing(present, directory if "://" in directory else os.path.abspath(directory))
     new = files.members(files.read_sources(spark, directory, exclude=exclude), options)
     if not new.head(1):
         return NOTHING
@@ -47,8 +47,6 @@ def index_files(store: Store, paths: list[str], make: Callable[[], files.Embedde
     there = [p for p in paths if os.path.exists(p)]
     new = files.members(files.read_sources(store.spark, there), options) if there else None
     filled = {r.FilePath for r in new.select("FilePath").distinct().collect()} if new is not None else set()
-    for path in paths:
-        if path not in filled:
-            store.delete_file(path)
+    store.delete_files([p for p in paths if p not in filled])
     if filled:
         index_chunks(store, new.where(F.col("FilePath").isin(sorted(filled))), make)

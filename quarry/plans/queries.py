@@ -32,7 +32,7 @@ FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
 EDGES = """
 SELECT DISTINCT CAST(l_suppkey AS STRING) AS SourceChunkId, CAST(l_partkey % 100 + 1 AS STRING) AS TargetChunkId,
        'Invocation' AS CallType, CAST(l_linenumber AS INT) AS LineNumber
-FROM lineitem WHERE l_orderkey % 50 = 0
+FROM lineitem 
 """
 TERMS = ["the", "and", "service", "doc7", "geten"]
 QUERY = "the and service doc7 geten"
@@ -156,7 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     doc = {
         "chunk_scan": lambda s, d: chunks(s, d).drop("Embedding"),
         "content_hash_map": lambda s, d: _hashed(s, d).select("Id", "ContentHash"),
-        "content_hash": lambda s, d: chunks(s, d).select("Id", X.content_hash(F.col("Documentation")).alias("hash")),
+        "content_hash": lambda s, d: chunks(s, d).select("Id", X.content_hash(F.col("Content")).alias("hash")),
         "embedded_scan": lambda s, d: hybrid.embedded(chunks(s, d)).select("Id", F.size("Embedding").cast("long").alias("dim")),
         "distinct_files": lambda s, d: chunks(s, d).select("FilePath").distinct(),
         "chunks_per_file": lambda s, d: chunks(s, d).groupBy("NamespaceName").agg(F.count("*").alias("n")),
@@ -170,7 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_combined": _filter(SearchFilter(namespace="en", http_method="get", is_service=False, class_name=" ")),
         "semantic_id": lambda s, d: chunks(s, d).select("Id", X.semantic_id(F.col("FilePath"), F.col("NamespaceName"), F.col("ClassName"), F.col("MemberName"), F.col("MemberType"), F.lit(0), F.col("Signature")).alias("sid")),
         "tokenize_terms": _exploded(X.tokenize, "Content"),
-        "ranker_terms": _exploded(X.ranker_terms, "Signature"),
+        "ranker_terms": _exploded(X.ranker_terms, "Content"),
         "identifier_parts": _exploded(X.identifier_parts, "Content"),
         "camel_split_all": lambda s, d: chunks(s, d).select("Id", F.array_join(X.camel_all(F.col("ClassName")), "|").alias("pieces")),
         "camel_split_boundary": lambda s, d: chunks(s, d).select("Id", F.array_join(X.camel_boundary(F.col("ClassName")), "|").alias("pieces")),
@@ -191,7 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "suggest_top3": lambda s, d: suggest.suggest(chunks(s, d), "Doc7Servce").withColumns({"dist": F.col("dist").cast("long"), "len_diff": F.col("len_diff").cast("long")}),
         "query_expansion": lambda s, d: chunks(s, d).select("Id", suggest.expand_column(F.when(F.expr("CAST(Id AS INT) % 2 = 0"), F.concat(F.lit("db File "), "NamespaceName")).otherwise(F.lit("plain db"))).alias("expanded")),
         "changed_chunks": lambda s, d: delta.changed(_hashed(s, d), _stored(s, d)).select("Id"),
-        "upsert_last_wins": lambda s, d: delta.upsert(_stored(s, d), delta.last_wins(_table(s, d, "events").where("event_id % 3 = 0").select(F.expr("CAST(user_id % 400 AS STRING)").alias("Id"), F.lit("/e.cs").alias("FilePath"), F.expr("CAST(event_id AS STRING)").alias("ContentHash"), F.col("event_id").alias("seq")), "seq").drop("seq")),
+        "upsert_last_wins": lambda s, d: delta.upsert(_stored(s, d), delta.last_wins(_table(s, d, "events").select(F.expr("CAST(user_id % 400 AS STRING)").alias("Id"), F.lit("/e.cs").alias("FilePath"), F.expr("CAST(event_id AS STRING)").alias("ContentHash"), F.col("event_id").alias("seq")), "seq").drop("seq")),
         "delete_by_file": lambda s, d: delta.delete_file(chunks(s, d), "/src1/en/doc1.cs").select("Id"),
         "delete_missing_files": lambda s, d: delta.delete_missing(chunks(s, d), chunks(s, d).where("CAST(Id AS INT) % 3 <> 0").select("FilePath")).select("Id"),
         "orphan_edges": lambda s, d: graph.live_edges(edges(s, d), chunks(s, d).where("CAST(Id AS INT) % 4 <> 0")),
@@ -234,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
         return f"{base}, t AS (SELECT Id, {items} AS l FROM c), u AS (SELECT Id, unnest(l) AS term, generate_subscripts(l, 1) AS i FROM t), f AS (SELECT Id, term, min(i) AS i FROM u GROUP BY Id, term) SELECT Id, CAST(row_number() OVER (PARTITION BY Id ORDER BY i) - 1 AS INTEGER) AS pos, term FROM f"
 
     idparts = f"list_transform(flatten(list_transform(list_filter(regexp_split_to_array(Content, '{idelim}'), lambda w: contains(w, '.') AND length(w) >= 3 AND len(list_filter(string_split(w, '.'), lambda s: length(s) >= 2)) >= 1), lambda w: list_append(list_filter(string_split(w, '.'), lambda s: length(s) >= 2), w))), lambda p: lower(p))"
-    rterms = f"list_filter(list_transform(regexp_split_to_array(Signature, '{rdelim}'), lambda p: lower(p)), lambda p: length(p) >= 2)"
+    rterms = f"list_filter(list_transform(regexp_split_to_array(Content, '{rdelim}'), lambda p: lower(p)), lambda p: length(p) >= 2)"
     stem = "regexp_replace(list_extract(string_split(FilePath, '/'), -1), '\\.[^.]*$', '')"
     fields = [("ClassName", 1.0), ("MemberName", 0.8), ("Signature", 0.6), (stem, 0.4), ("NamespaceName", 0.4)]
 
@@ -274,7 +274,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "chunk_scan": f"{base} SELECT * EXCLUDE (Embedding) FROM c",
         "content_hash_map": f"{stored} SELECT Id, ContentHash FROM x",
-        "content_hash": f"{base} SELECT Id, CASE WHEN Documentation = '' THEN '' ELSE sha256(Documentation) END AS hash FROM c",
+        "content_hash": f"{base} SELECT Id, CASE WHEN Content = '' THEN '' ELSE sha256(Content) END AS hash FROM c",
         "embedded_scan": f"{base} SELECT Id, CAST(len(Embedding) AS BIGINT) AS dim FROM c WHERE Embedding IS NOT NULL AND len(Embedding) > 0",
         "distinct_files": f"{base} SELECT DISTINCT FilePath FROM c",
         "chunks_per_file": f"{base} SELECT NamespaceName, count(*) AS n FROM c GROUP BY 1",
@@ -309,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
         "suggest_top3": f"{names} SELECT term, CAST({dist} AS BIGINT) AS dist, CAST(abs(length(term) - 10) AS BIGINT) AS len_diff FROM nm WHERE lower(term) <> 'doc7servce' AND {dist} <= 3 ORDER BY dist, len_diff, term LIMIT 3",
         "query_expansion": f"{base}, qs AS (SELECT Id, CASE WHEN CAST(Id AS INT) % 2 = 0 THEN 'db File ' || NamespaceName ELSE 'plain db' END AS q FROM c), ws AS (SELECT Id, list_filter(string_split(lower(q), ' '), lambda w: w <> '') AS l FROM qs), al AS (SELECT Id, list_concat(l, flatten(list_transform(l, lambda w: {case}))) AS l FROM ws), un AS (SELECT Id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM al), di AS (SELECT Id, t, min(i) AS i FROM un GROUP BY Id, t) SELECT Id, string_agg(t, ' ' ORDER BY i) AS expanded FROM di GROUP BY Id",
         "changed_chunks": f"{stored} SELECT Id FROM x WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.Id = x.Id AND st.ContentHash = x.ContentHash)",
-        "upsert_last_wins": f"{stored}, n AS (SELECT CAST(user_id % 400 AS VARCHAR) AS Id, '/e.cs' AS FilePath, CAST(max(event_id) AS VARCHAR) AS ContentHash FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT Id, FilePath, ContentHash FROM n UNION ALL SELECT Id, FilePath, ContentHash FROM st WHERE Id NOT IN (SELECT Id FROM n)",
+        "upsert_last_wins": f"{stored}, n AS (SELECT CAST(user_id % 400 AS VARCHAR) AS Id, '/e.cs' AS FilePath, CAST(max(event_id) AS VARCHAR) AS ContentHash FROM events GROUP BY 1) SELECT Id, FilePath, ContentHash FROM n UNION ALL SELECT Id, FilePath, ContentHash FROM st WHERE Id NOT IN (SELECT Id FROM n)",
         "delete_by_file": plain("FilePath <> '/src1/en/doc1.cs'"),
         "delete_missing_files": plain("CAST(Id AS INT) % 3 <> 0"),
         "orphan_edges": f"{base}, l AS (SELECT Id FROM c WHERE CAST(Id AS INT) % 4 <> 0) SELECT * FROM e WHERE SourceChunkId IN (SELECT Id FROM l) AND TargetChunkId IN (SELECT Id FROM l)",

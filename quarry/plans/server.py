@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from typing import IO
 
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ class Server:
             if not str(a.get("query") or "").strip():
                 raise ValueError("query is required")
             f = SearchFilter(a.get("namespace"), a.get("class"), file_pattern=a.get("filePattern"))
-            out = as_dict(search(self.store, a["query"], self.embedder, self.options, f))
-            out["results"] = out["results"][: a.get("limit") or self.options.display_count]
-            return out | {"resultCount": len(out["results"])}
+            limit = a.get("limit")
+            options = replace(self.options, display_count=limit, top_k=max(limit, self.options.top_k)) if isinstance(limit, int) and limit > 0 else self.options
+            return as_dict(search(self.store, a["query"], self.embedder, options, f))
         if not a.get("id"):
             raise ValueError("id is required")
         row = self.store.read("chunks").where(F.col("Id") == a["id"]).select(*CHUNK).limit(1).collect()

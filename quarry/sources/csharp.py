@@ -47,6 +47,11 @@ class Source:
     routes: dict[str, str]
 
 
+_RAW = re.compile(r'[$@]*("""+)')
+_QUOTED = re.compile(r'(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.[^'\n]*)'")
+_PLAIN = re.compile(r"""[^/#$@"']+""")
+
+
 def mask(text: str) -> str:
     """The text with comments, literals and preprocessor lines blanked; lines and length stay."""
     out, i, n = [], 0, len(text)
@@ -55,22 +60,22 @@ def mask(text: str) -> str:
         out.append("".join(c if c == "\n" else " " for c in text[i:to]))
 
     while i < n:
-        rest = text[i : i + 4]
+        if m := _PLAIN.match(text, i):
+            out.append(m[0])
+            i = m.end()
+            continue
+        rest = text[i : i + 2]
         if rest.startswith("//"):
             to = text.find("\n", i)
         elif rest.startswith("/*"):
-            to = text.find("*/", i + 2) + 2 if "*/" in text[i + 2 :] else -1
+            to = text.find("*/", i + 2) + 2 if text.find("*/", i + 2) >= 0 else -1
         elif rest[0] == "#" and not text[text.rfind("\n", 0, i) + 1 : i].strip():
             to = text.find("\n", i)
-        elif m := re.match(r'[$@]*("""+)', text[i:]):
-            at = text.find(m[1], i + m.end())
+        elif m := _RAW.match(text, i):
+            at = text.find(m[1], m.end())
             to = at + len(m[1]) if at >= 0 else -1
-        elif m := re.match(r'(?:\$@|@\$|@)"(?:[^"]|"")*"', text[i:]):
-            to = i + m.end()
-        elif m := re.match(r'\$?"(?:[^"\\\n]|\\.)*"', text[i:]):
-            to = i + m.end()
-        elif m := re.match(r"'(?:[^'\\\n]|\\.[^'\n]*)'", text[i:]):
-            to = i + m.end()
+        elif m := _QUOTED.match(text, i):
+            to = m.end()
         else:
             out.append(rest[0])
             i += 1
@@ -228,7 +233,7 @@ def parse(text: str) -> Source:
         found.members.append(Member(namespace, cls, name.lstrip("@"), kind, text[start:to], line(start), line(to - 1), signature, _documentation(text, start), class_doc, body, body_line, list(dict.fromkeys(calls)), attributes))
         if kind == "Method":
             routes = re.findall(r'\b(?:Route|Http\w+)\s*\(\s*"([^"]*)"', attributes)
-            joined = [f"{route}/{r.lstrip('/')}" if route else r.lstrip("/") for r in routes] or ([route] if route and "Http" in attributes else [])
+            joined = [f"{route}/{r.lstrip('/')}" if route else r.lstrip("/") for r in routes]
             if joined:
                 found.routes[f"{len(found.members) - 1}"] = ", ".join(joined)
         return to

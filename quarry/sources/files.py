@@ -40,7 +40,7 @@ def is_excluded(path):
 
 def read_sources(spark: SparkSession, paths: str | list[str], pattern: str = "*.cs", exclude: bool = False) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    found = reader.load(paths).select(_path("path").alias("FilePath"), F.decode("content", "UTF-8").alias("text"))
+    found = reader.load(paths).select(_path("path").alias("FilePath"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\uFEFF", "").alias("text"))
     return found.where(~is_excluded(F.col("FilePath"))) if exclude else found
 
 

@@ -61,12 +61,14 @@ class Store:
         return new
 
     def upsert(self, new: DataFrame, replaced_files: DataFrame | None = None) -> None:
-        """Chunks by Id, the last of a batch's duplicates; their postings and edges follow.
+        """Chunks by Id, the last of a batch's duplicates; their postings and edges follow. new is evaluated once.
 
         replaced_files: (FilePath, Id) of all that these files now hold; what they held before and no longer do goes.
         """
         rows = new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNKS)).withColumn("_seq", F.monotonically_increasing_id())
-        rows = delta.last_wins(rows, "_seq").drop("_seq")
+        staged = f"{self.root}/staged-{uuid.uuid4().hex}"  # goes when the version is published
+        rows.write.parquet(staged)
+        rows = delta.last_wins(self.spark.read.schema(rows.schema).parquet(staged), "_seq").drop("_seq")
         chunks = delta.upsert(self.read("chunks"), rows)
         if replaced_files is not None:
             held = replaced_files.select("FilePath").distinct()
@@ -79,23 +81,31 @@ class Store:
         kept = self.read("postings").join(ids, "ChunkId", "left_semi")
         if changed is not None:
             kept = kept.join(changed.select(F.col("Id").alias("ChunkId")), "ChunkId", "left_anti").unionByName(postings(changed))
-        self.publish(chunks=chunks, postings=kept, edges=graph.resolve_calls(chunks.where("CallsTo IS NOT NULL")))
+        names = [f.name for f in EDGES]
+        resolved = lambda rows: graph.resolve_calls(rows.where("CallsTo IS NOT NULL")).select(*names)
+        # edges that were added stay as long as both ends do
+        added = graph.live_edges(self.read("edges").subtract(resolved(self.read("chunks"))), chunks)
+        self.publish(chunks=chunks, postings=kept, edges=resolved(chunks).unionByName(added).distinct())
 
     def delete_file(self, path: str) -> int:
         """Remove a file's chunks; returns how many there were."""
-        if not path.strip():
-            return 0
-        n = self.read("chunks").where(F.col("FilePath") == path).count()
+        return self.delete_files([path])
+
+    def delete_files(self, paths: list[str]) -> int:
+        """Remove the chunks of some files in one version; returns how many there were."""
+        gone = F.col("FilePath").isin([p for p in paths if p.strip()])
+        n = self.read("chunks").where(gone).count()
         if n:
-            self._with_chunks(delta.delete_file(self.read("chunks"), path))
+            self._with_chunks(self.read("chunks").where(~gone))
         return n
 
-    def delete_missing(self, present: DataFrame) -> int:
-        """Remove chunks of files that aren't listed; returns how many files."""
-        stored = self.read("chunks").select("FilePath").distinct()
-        n = stored.join(present.select("FilePath"), "FilePath", "left_anti").count()
+    def delete_missing(self, present: DataFrame, root: str = "") -> int:
+        """Remove chunks of files below root that aren't listed; returns how many files."""
+        below = F.startswith(F.col("FilePath"), F.lit(root.rstrip("/") + "/")) if root else F.lit(True)
+        gone = self.read("chunks").where(below).select("FilePath").distinct().join(present.select("FilePath"), "FilePath", "left_anti")
+        n = gone.count()
         if n:
-            self._with_chunks(delta.delete_missing(self.read("chunks"), present))
+            self._with_chunks(self.read("chunks").join(gone, "FilePath", "left_anti"))
         return n
 
     def add_edges(self, edges: DataFrame) -> None:

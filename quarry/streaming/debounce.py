@@ -23,6 +23,8 @@ def debounced(events: DataFrame, key: str, ts: str, quiet: str, late: str = "0 s
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared one; on this machine only where the session names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='quarry-stream-')}"
 
 

@@ -94,8 +94,7 @@ class ChangeSource(DataSource):
 def apply(store: Store, batch: DataFrame, make: Callable[[], Embedder]) -> None:
     """Deletes first, then upserts; a batch's paths are few."""
     last = {r.path: r.op for r in batch.collect()}
-    for path in sorted(p for p, op in last.items() if op == "delete"):
-        store.delete_file(path)
+    store.delete_files(sorted(p for p, op in last.items() if op == "delete"))
     again = sorted(p for p, op in last.items() if op == "upsert")
     if again:
         indexing.index_files(store, again, make)

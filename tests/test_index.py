@@ -103,7 +103,43 @@ def test_index_search_watch(spark, tmp_path):
     assert "FetchOrder" in names and "LoadOrder" not in names and "F" in names
     assert not {r.ChunkId for r in store.read("postings").select("ChunkId").distinct().collect()} - {r.Id for r in store.read("chunks").collect()}
     assert store.delete_file(" ") == 0 and store.delete_file(str(source / "New.cs")) == 1
-    assert main(["--mode", "search", "--store", str(root), "-q", "order", "--quiet"], spark) == 0 and main(["--mode", "nope"], spark) == 1
+    run = lambda *a, at=root: main(["--mode", "search", "--store", str(at), *a, "--quiet"], spark)
+    assert run("-q", "CLASS_BOOST OrderController OrderController MEMBER_BOOST FetchOrder FetchOrder FetchOrder public Order FetchOrder(int id, bool deep)", "-l", "x") == 0 and run("-q", "qqq zzz") == 1  # found something, found nothing
+    assert run("-q", "order", at=tmp_path / "no-store") == 1 and main(["--mode", "nope"], spark) == 1
+
+
+class Counting(HashingEmbedder):
+    """Notes each text it embeds in a file."""
+
+    log = ""
+
+    def embed(self, texts):
+        with open(self.log, "a") as f:
+            f.writelines("x\n" for _ in texts)
+        return super().embed(texts)
+
+
+def test_store_of_two_directories(spark, tmp_path, monkeypatch):
+    a, b, store = tmp_path / "a", tmp_path / "b", Store(spark, str(tmp_path / "store"))
+    a.mkdir(), b.mkdir()
+    (a / "Orders.cs").write_text(CODE)
+    (a / "Bad.cs").write_bytes(b"\xef\xbb\xbfnamespace N { class Q { int A; /* \xff\xfe */ } }")
+    (b / "Other.cs").write_text("namespace N { class K { int F; } }")
+    log = str(tmp_path / "log")
+    make = lambda: setattr(Counting, "log", log) or Counting()
+    assert indexing.index(store, str(a), make) == 0 and indexing.index(store, str(b), make) == 0
+    chunks = store.read("chunks").collect()
+    assert {os.path.basename(r.FilePath) for r in chunks} == {"Orders.cs", "Bad.cs", "Other.cs"}
+    assert len(open(log).readlines()) == len(chunks)  # each text once
+    ids = sorted(r.Id for r in chunks)
+    store.add_edges(spark.createDataFrame([(ids[0], ids[1], "Manual", 7)], "SourceChunkId string, TargetChunkId string, CallType string, LineNumber int"))
+    other = next(r for r in chunks if r.MemberName == "F")
+    (b / "Other.cs").write_text("namespace N { class K { int F; int G; } }")
+    assert indexing.index(store, str(b), make) == 0
+    assert store.read("edges").where("CallType = 'Manual'").count() == 1
+    before = store.version()
+    assert store.delete_files([r.FilePath for r in chunks if r.Id != other.Id and "Other" not in r.FilePath]) == len(chunks) - 1
+    assert int(store.version().split("-")[0]) == int(before.split("-")[0]) + 1 and store.read("edges").where("CallType = 'Manual'").count() == 0
 
 
 def test_changes():
