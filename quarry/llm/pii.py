@@ -34,6 +34,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text with a match of each base pattern has at least; cheap to test.
+BASE_NEEDS = {"email": "contains(_t, '@')", "ip": "_t RLIKE '[0-9][.][0-9]'", "card": "_t RLIKE '[0-9](?:[ -]?[0-9]){11}'", "phone": "contains(_t, '+')"}
 WORD = r"[\p{L}0-9_%+-]"
 #: Wider patterns: kind and pattern of each generator.
 WIDER = [
@@ -43,6 +45,14 @@ WIDER = [
     ("card", r"(?<![0-9])[0-9]{4}(?:[._/\x20-]{1,2}[0-9]{4}){2}[._/\x20-]{1,2}[0-9]{1,7}(?![0-9])"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
 ]
+#: As BASE_NEEDS, of each generator.
+WIDER_NEEDS = [
+    "contains(_t, '@') OR contains(_t, '(at)') OR contains(_t, '[at]') OR contains(_t, ' at ')",
+    "_t RLIKE '[0-9]{3}[ .-][0-9]{4}'",
+    "contains(_t, '00')",
+    "_t RLIKE '[0-9]{4}[._/ -]{1,2}[0-9]{4}'",
+    "_t RLIKE '[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:'",
+]
 #: Words that introduce personal data, by kind.
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|write|contact|reach|address)\W*(?:\w+\W+){0,2}$",
@@ -86,8 +96,9 @@ def _spans(parts: str) -> str:
     return f"CASE WHEN size({parts}) < 2 THEN {none} ELSE element_at(transform(array({chunks}), chunks -> element_at(transform(array({sizes}), sizes -> flatten({each})), 1)), 1) END"
 
 
-def _marked(pattern: str) -> str:
-    return f"split(regexp_replace(_t, {_quoted(pattern)}, '\\u0001$0\\u0002'), '\\u0001')"
+def _marked(pattern: str, needs: str) -> str:
+    """The text, split before each match; texts that can't have one aren't searched."""
+    return f"CASE WHEN {needs} THEN split(regexp_replace(_t, {_quoted(pattern)}, '\\u0001$0\\u0002'), '\\u0001') ELSE array(_t) END"
 
 
 def _valid(kind: str) -> str:
@@ -104,7 +115,7 @@ def _valid(kind: str) -> str:
 def _candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, _t (the text, its marks replaced), base_<kind> and wide: spans with all features."""
     cleaned = docs.select(*keep, F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02", "\x03\x03").alias("_t"))
-    split = cleaned.select("*", *(F.expr(_marked(p)).alias(f"_b{i}") for i, p in enumerate(BASE.values())), *(F.expr(_marked(p)).alias(f"_w{i}") for i, (_, p) in enumerate(WIDER)))
+    split = cleaned.select("*", *(F.expr(_marked(p, BASE_NEEDS[k])).alias(f"_b{i}") for i, (k, p) in enumerate(BASE.items())), *(F.expr(_marked(p, needs)).alias(f"_w{i}") for i, ((_, p), needs) in enumerate(zip(WIDER, WIDER_NEEDS, strict=True))))
     spans = split.select(*keep, "_t", *(F.expr(f"filter({_spans(f'_b{i}')}, x -> {_valid(k)})").alias(f"_base_{k}") for i, k in enumerate(BASE)), *(F.expr(_spans(f"_w{i}")).alias(f"_wide_{i}") for i in range(len(WIDER))))
     base = [F.expr(f"transform(_base_{k}, x -> named_struct('start', x.start, 'kind', {i}, 'stop', x.start + length(x.m)))").alias(f"base_{k}") for i, k in enumerate(KINDS)]
     wide = [f"transform(_wide_{g}, x -> {_features(KINDS.index(kind), g)})" for g, (kind, _) in enumerate(WIDER)]
