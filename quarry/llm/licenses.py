@@ -3,7 +3,8 @@
 A multinomial model over word unigrams and bigrams is fitted on the driver, on pieces of well-known notices and on
 sentences that only speak of licences. The unknown is a class of its own, and the probability from which a family
 counts is the lowest above everything that the held-out unknown sentences reached. A prediction stands if the
-paragraph holds enough of one of the family's notices, measured as the share of the notice's bigrams.
+paragraph holds enough of one of the family's notices, measured as the share of the notice's bigrams, and half of those
+that tell it from other families' notices.
 
 A paragraph is a line of text, or a window of adjacent lines: from each line on, every number of lines up to the one that
 holds the longest notice, or to the next line without words. So notices wrapped over lines are found, also behind
@@ -114,7 +115,7 @@ OTHER = [
     "The bar lost its liquor license after the inspection.",
 ]
 #: Words one of which every notice has.
-ANCHORS = ["license", "licence", "licensed", "licenses", "sublicense", "permission", "copyright", "redistribute", "redistribution", "gnu", "mozilla", "spdx", "warranties", "proprietary", "unauthorized"]
+ANCHORS = ["license", "licence", "licensed", "licenses", "sublicense", "permission", "copyright", "redistribute", "redistribution", "gnu", "mozilla", "spdx", "warranties", "proprietary", "unauthorized", "terms", "conditions", "law"]
 UNKNOWN = "unknown"
 
 
@@ -198,9 +199,6 @@ _models: list[Model] = []
 def model() -> Model:
     """Fitted once a process."""
     if not _models:
-        for notices in NOTICES.values():
-            for notice in notices:
-                assert set(_words(notice)) & set(ANCHORS) or "terms" in _words(notice) or "conditions" in _words(notice) or "law" in _words(notice), notice
         _models.append(Model())
     return _models[0]
 
@@ -224,8 +222,7 @@ WINDOW = max(len(_words(n)) for own in NOTICES.values() for n in own) + 20
 def scan(docs: DataFrame, keep: list[str], least_share: float = 0.6) -> DataFrame:
     """keep, paragraph (its first line's number from 0), line, family, probability and similarity of every licence found."""
     m = model()
-    known = sorted(set(ANCHORS) | {"terms", "conditions", "law"})
-    anchor = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(known) + ")(?![A-Za-z0-9])"
+    anchor = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(ANCHORS) + ")(?![A-Za-z0-9])"
     quoted = "'" + anchor.replace("\\", "\\\\") + "'"
     texts = docs.select(*keep, F.col("text").cast("string").alias("_t")).where(F.expr(f"_t RLIKE {quoted}")).withColumn("_row", F.monotonically_increasing_id())
     lines = texts.withColumn("_l", F.expr("split(_t, '\\n', -1)")).withColumn("_c", F.expr("transform(_l, l -> size(filter(split(l, '[^A-Za-z0-9]+'), w -> w <> '')))"))
@@ -246,8 +243,10 @@ def scan(docs: DataFrame, keep: list[str], least_share: float = 0.6) -> DataFram
     sums = grams.withColumn("_z", F.expr(_let("_v", "vs", f"transform({_literal(m.bias)}, (b, c) -> b + aggregate(vs, 0D, (a, v) -> a + get(v, c)))")))
     top = sums.withColumn("_top", F.expr(_let("_z", "zs", "named_struct('zs', zs, 'best', array_max(transform(slice(zs, 1, size(zs) - 1), (z, c) -> named_struct('z', z, 'c', -c))))")))
     scored = top.withColumn("probability", F.expr(_let("_top", "t", "1 / aggregate(t.zs, 0D, (a, z) -> a + exp(least(z - t.best.z, 700D)))"))).where(F.col("probability") >= m.least)
-    notices = _literal([[_pairs(n) for n in NOTICES[f]] for f in NOTICES])
-    share = _let("_p", "ps", f"array_max(transform(get({notices}, -_top.best.c), n -> size(array_intersect(n, ps)) / size(n)))")
+    others = {f: {p for g in NOTICES if g != f for n in NOTICES[g] for p in _pairs(n)} for f in NOTICES}
+    # of each notice all bigrams, and those that no other family has
+    notices = _literal([[[_pairs(n), [p for p in _pairs(n) if p not in others[f]] or _pairs(n)] for n in NOTICES[f]] for f in NOTICES])
+    share = _let("_p", "ps", f"array_max(transform(get({notices}, -_top.best.c), n -> IF(2 * size(array_intersect(n[1], ps)) >= size(n[1]), size(array_intersect(n[0], ps)) / size(n[0]), 0D)))")
     named = scored.withColumn("family", F.expr(f"get({_literal(m.families)}, -_top.best.c)")).withColumn("similarity", F.expr(share))
     found = named.where(F.col("similarity") >= least_share)
     # the best of each row first

@@ -311,6 +311,17 @@ def test_wrapped_licenses(spark):
     assert got == [(0, 4, "MIT"), (1, 2, "BSD"), (2, 2, "Apache-2.0"), (3, 0, "GPL"), (4, 1, "MIT"), (5, 1, "BSD"), (6, 1, "Apache-2.0"), (7, 1, "GPL"), (8, 0, "BSD"), (8, 2, "GPL"), (9, 0, "MIT")]
 
 
+def test_unlisted_licenses(spark):
+    """Identifiers and names that no notice has are unknown; every notice has a word that paragraphs are chosen by."""
+    texts = ["SPDX-License-Identifier: ISC", "SPDX-License-Identifier: Zlib", "Licensed under the Foo Bar License, Version 9.", None, ""]
+    assert licenses.scan(frame(spark, texts), ["doc_id"]).count() == 0
+    assert all(set(licenses._words(n)) & set(licenses.ANCHORS) for own in licenses.NOTICES.values() for n in own)
+    empty = frame(spark, texts).limit(0)
+    assert licenses.scan(empty, ["doc_id"]).count() == 0
+    again = spark.createDataFrame([(1, "Released under the MIT License.")] * 2 + [(None, "Released under the MIT License.")], TEXT)
+    assert [r.family for r in licenses.scan(again, ["doc_id"]).collect()] == ["MIT"] * 3
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     items = [(i, prose(rng, 35, tuple("abcdefghij"))) for i in range(10)]
