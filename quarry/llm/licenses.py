@@ -8,8 +8,8 @@ that tell it from other families' notices.
 
 A paragraph is a line of text, or a window of adjacent lines: from each line on, every number of lines up to the one that
 holds the longest notice, or to the next line without words. So notices wrapped over lines are found, also behind
-comment marks and one after another. Only paragraphs with one of the anchor words are scored, and every notice has one;
-others are unknown. Of paragraphs that overlap and name one family the most similar stands, of equal ones a line alone
+comment marks and one after another. Only paragraphs with a telling bigram (gate()) are scored; what has none of them
+lacks too many bigrams of every notice to be confirmed, so that no licence is lost by it. Of paragraphs that overlap and name one family the most similar stands, of equal ones a line alone
 or else the one that starts last; windows that are part of a more similar one of another family don't. The main path is
 a plan of SQL expressions over the model's table of n-grams, which depends on the notices only: no Python, and only what
 was found is shuffled, by row.
@@ -114,8 +114,6 @@ OTHER = [
     "Poetic license is permitted in works of fiction.",
     "The bar lost its liquor license after the inspection.",
 ]
-#: Words one of which every notice has.
-ANCHORS = ["license", "licence", "licensed", "licenses", "sublicense", "permission", "copyright", "redistribute", "redistribution", "gnu", "mozilla", "spdx", "warranties", "proprietary", "unauthorized", "terms", "conditions", "law"]
 UNKNOWN = "unknown"
 
 
@@ -215,6 +213,44 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _others(family: str) -> set[str]:
+    """The bigrams of other families' notices."""
+    return {p for g in NOTICES if g != family for n in NOTICES[g] for p in _pairs(n)}
+
+
+def _required(notice: str, others: set[str]) -> tuple[list[str], list[str]]:
+    """All bigrams of a notice, and those that no other family has (all, where it has none)."""
+    own = _pairs(notice)
+    return own, [p for p in own if p not in others] or own
+
+
+def gate(least_share: float) -> set[str]:
+    """Bigrams such that every paragraph scan() can confirm has one of them.
+
+    A confirmed paragraph holds at least k of a notice's n bigrams, so it has one of any n - k + 1. Of each notice those
+    are taken that are longest, hence rare: of all its bigrams, or of the telling ones, whichever are rarer together.
+    """
+    chosen: set[str] = set()
+    for family, notices in NOTICES.items():
+        for notice in notices:
+            own, telling = _required(notice, _others(family))
+            least = next(k for k in range(1, len(own) + 1) if k / len(own) >= least_share)
+            ways = [sorted(ps, key=lambda p: (-len(p), p))[: len(ps) - k + 1] for ps, k in ((own, least), (telling, (len(telling) + 1) // 2))]
+            chosen |= set(min(ways, key=lambda ps: sum(0.5 ** len(p) for p in ps)))
+    return chosen
+
+
+def _gate_pattern(least_share: float) -> str:
+    """A regular expression for a bigram of the gate in lower-cased text."""
+    seconds: dict[str, list[str]] = {}
+    for first, second in (p.split(" ") for p in sorted(gate(least_share))):
+        seconds.setdefault(first, []).append(second)
+    letters: dict[str, list[str]] = {}
+    for first, after in seconds.items():
+        letters.setdefault(first[0], []).append(f"{first[1:]}[^a-z0-9]+(?:{'|'.join(after)})")
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in letters.items()) + ")(?![a-z0-9])"
+
+
 #: Words of a window of lines at least: the longest notice, and what its first line may hold before it.
 WINDOW = max(len(_words(n)) for own in NOTICES.values() for n in own) + 20
 
@@ -222,17 +258,16 @@ WINDOW = max(len(_words(n)) for own in NOTICES.values() for n in own) + 20
 def scan(docs: DataFrame, keep: list[str], least_share: float = 0.6) -> DataFrame:
     """keep, paragraph (its first line's number from 0), line, family, probability and similarity of every licence found."""
     m = model()
-    anchor = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(ANCHORS) + ")(?![A-Za-z0-9])"
-    quoted = "'" + anchor.replace("\\", "\\\\") + "'"
-    texts = docs.select(*keep, F.col("text").cast("string").alias("_t")).where(F.expr(f"_t RLIKE {quoted}")).withColumn("_row", F.monotonically_increasing_id())
+    quoted = _literal(_gate_pattern(least_share))
+    texts = docs.select(*keep, F.col("text").cast("string").alias("_t")).where(F.expr(f"lower(_t) RLIKE {quoted}")).withColumn("_row", F.monotonically_increasing_id())
     lines = texts.withColumn("_l", F.expr("split(_t, '\\n', -1)")).withColumn("_c", F.expr("transform(_l, l -> size(filter(split(l, '[^A-Za-z0-9]+'), w -> w <> '')))"))
     # each window holds a word a line at least, so that WINDOW lines are enough
     step = f"(a, c) -> IF(a.done OR c = 0, named_struct('n', a.n, 'k', a.k, 'done', true), named_struct('n', a.n + c, 'k', a.k + 1, 'done', a.n + c >= {WINDOW}))"
     lengths = f"transform(_c, (c, i) -> IF(c = 0, 0, aggregate(slice(_c, i + 1, {WINDOW}), named_struct('n', 0, 'k', 0, 'done', false), {step}).k))"
     windows = "flatten(transform(_k, (k, i) -> transform(slice(sequence(1, greatest(k, 1)), 2, 1000), n -> named_struct('paragraph', i, 'last', i + n - 1, 'line', array_join(slice(_l, i + 1, n), '\\n')))))"
     single = "transform(_l, (l, i) -> named_struct('paragraph', i, 'last', i, 'line', l))"
-    # one row per paragraph with an anchor
-    rows = lines.withColumn("_k", F.expr(lengths)).select(*keep, "_row", F.expr(f"inline(filter(concat({single}, {windows}), x -> x.line RLIKE {quoted}))"))
+    # one row per paragraph that the gate lets pass
+    rows = lines.withColumn("_k", F.expr(lengths)).select(*keep, "_row", F.expr(f"inline(filter(concat({single}, {windows}), x -> lower(x.line) RLIKE {quoted}))"))
     words = rows.withColumn("_w", F.expr("filter(split(lower(line), '[^a-z0-9]+'), w -> w <> '')"))
     pairs = words.withColumn("_p", F.expr("array_distinct(zip_with(slice(_w, 1, greatest(size(_w) - 1, 0)), slice(_w, 2, greatest(size(_w) - 1, 0)), (a, b) -> concat(a, ' ', b)))"))
     # n-grams and weights as two texts: they fold into one constant map
@@ -243,9 +278,8 @@ def scan(docs: DataFrame, keep: list[str], least_share: float = 0.6) -> DataFram
     sums = grams.withColumn("_z", F.expr(_let("_v", "vs", f"transform({_literal(m.bias)}, (b, c) -> b + aggregate(vs, 0D, (a, v) -> a + get(v, c)))")))
     top = sums.withColumn("_top", F.expr(_let("_z", "zs", "named_struct('zs', zs, 'best', array_max(transform(slice(zs, 1, size(zs) - 1), (z, c) -> named_struct('z', z, 'c', -c))))")))
     scored = top.withColumn("probability", F.expr(_let("_top", "t", "1 / aggregate(t.zs, 0D, (a, z) -> a + exp(least(z - t.best.z, 700D)))"))).where(F.col("probability") >= m.least)
-    others = {f: {p for g in NOTICES if g != f for n in NOTICES[g] for p in _pairs(n)} for f in NOTICES}
     # of each notice all bigrams, and those that no other family has
-    notices = _literal([[[_pairs(n), [p for p in _pairs(n) if p not in others[f]] or _pairs(n)] for n in NOTICES[f]] for f in NOTICES])
+    notices = _literal([[list(_required(n, _others(f))) for n in NOTICES[f]] for f in NOTICES])
     share = _let("_p", "ps", f"array_max(transform(get({notices}, -_top.best.c), n -> IF(2 * size(array_intersect(n[1], ps)) >= size(n[1]), size(array_intersect(n[0], ps)) / size(n[0]), 0D)))")
     named = scored.withColumn("family", F.expr(f"get({_literal(m.families)}, -_top.best.c)")).withColumn("similarity", F.expr(share))
     found = named.where(F.col("similarity") >= least_share)
