@@ -18,7 +18,8 @@ def char_class(characters: str) -> str:
 
 
 def _parts(text: Column, delimiters: str) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), char_class(delimiters)), lambda p: p != "")
+    """Distinct words by first place: repeated ones add no term, and are left out before words are looked at one by one."""
+    return F.filter(F.array_distinct(F.split(F.coalesce(text, F.lit("")), char_class(delimiters))), lambda p: p != "")
 
 
 def camel_all(word: Column) -> Column:
@@ -33,7 +34,8 @@ def camel_boundary(word: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Distinct lower-case terms: the camel pieces of each word, then the word, of two characters or more."""
-    pieces = F.flatten(F.transform(_parts(text, INDEX_DELIMITERS), lambda p: F.concat(camel_all(p), F.array(p))))
+    # only words with a capital after their first character have pieces besides themselves
+    pieces = F.flatten(F.transform(_parts(text, INDEX_DELIMITERS), lambda p: F.when(p.rlike(r"(?s).\p{Lu}"), F.concat(camel_all(p), F.array(p))).otherwise(F.array(p))))
     return F.array_distinct(F.transform(F.filter(pieces, lambda p: F.length(p) >= 2), F.lower))
 
 
