@@ -4,7 +4,9 @@ Documents are encoded, an end id follows each, and documents longer than a seque
 with a shorter first one. How many pieces have which length is all that a plan needs: at most `capacity`
 numbers, whatever the corpus. The plan fills one bin at a time: a bitset dynamic programme over the available
 lengths, longest first, finds the fullest feasible combination, which is taken as often as the counts allow and
-removed. So there are few combinations, each with a run of sequence numbers. Pieces of one length are numbered,
+removed. A search that ends once a bin is full up to a small slack spends longer pieces (Fleszar and Hindi, 2002), so
+plans are made for several slacks, and the one with the fewest sequences counts. There are few combinations,
+each with a run of sequence numbers. Pieces of one length are numbered,
 within hashed parts of at most about `per_part` pieces, and the number gives sequence and offset.
 
 Results on unusual input: null and empty texts are one piece that holds only the end id. Rows that share a
@@ -54,8 +56,12 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int, with_ids: bool =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut(path, end, capacity, with_ids), kind)
 
 
-def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> list[int]:
-    """The lengths, longest first, of a combination that fills a bin as far as can be.
+#: Slacks that plans are made for: the first is the plain heuristic.
+SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+
+
+def fullest(lengths: list[int], counts: dict[int, int], capacity: int, slack: int = 0) -> list[int]:
+    """The lengths, longest first, of a combination that fills a bin as far as can be, or up to slack without shorter ones.
 
     Bit s of `reach` tells that the lengths taken so far can sum to s. A length with count c is added 1, 2, 4, ...
     and the rest at a time; walking back through the steps gives the combination.
@@ -68,7 +74,7 @@ def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> list[i
             steps.append((reach, length, take))
             reach |= (reach << (length * take)) & full
             left, many = left - take, 2 * many
-        if reach >> capacity & 1:
+        if reach >> max(0, capacity - slack):
             break
     at, out = reach.bit_length() - 1, []
     for before, length, take in reversed(steps):
@@ -78,12 +84,28 @@ def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> list[i
     return sorted(out, reverse=True)
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+Slot = tuple[int, int, int, int, int]
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[Slot]:
     """Slots (length, first number, count, first sequence, offset): piece `first + i` of a length, i < count,
     goes to sequence `first sequence + i` at the offset. Numbers of each length run from 0 without gaps.
 
-    Each bin starts from the longest piece left, as in the minimum bin slack heuristic.
+    The plan with the fewest sequences of those for all slacks, or the first that no plan can beat.
     """
+    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
+    best: tuple[int, list[Slot]] | None = None
+    for slack in SLACKS:
+        found = plan_with(histogram, capacity, slack)
+        if best is None or found[0] < best[0]:
+            best = found
+        if best[0] <= least:
+            break
+    return best[1]
+
+
+def plan_with(histogram: dict[int, int], capacity: int, slack: int) -> tuple[int, list[Slot]]:
+    """(sequences, slots) of one slack. Each bin starts from the longest piece left, as in the minimum bin slack heuristic."""
     counts = {k: v for k, v in histogram.items() if v > 0}
     used = dict.fromkeys(counts, 0)
     lengths = sorted(counts, reverse=True)
@@ -93,7 +115,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
         rest = dict(counts)
         rest[seed] -= 1
         fits = [x for x in lengths if rest[x] and x <= capacity - seed]
-        combination = [seed, *fullest(fits, rest, capacity - seed)]
+        combination = [seed, *fullest(fits, rest, capacity - seed, slack)]
         times = min(counts[x] // combination.count(x) for x in set(combination))
         offset = 0
         for x in combination:
@@ -103,10 +125,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             offset += x
         sequence += times
         lengths = [x for x in lengths if counts[x]]
-    return slots
+    return sequence, slots
 
 
-def _place(slots: list[tuple[int, int, int, int, int]], names: list[str]):
+def _place(slots: list[Slot], names: list[str]):
     by_length: dict[int, tuple[np.ndarray, ...]] = {}
     for length in {s[0] for s in slots}:
         own = np.array(sorted(s[1:] for s in slots if s[0] == length), np.int64)

@@ -1,6 +1,7 @@
 """The operators on small tables against brute force: ties, repeats, nulls, empty and long texts, empty tables, clashing columns."""
 
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -212,7 +213,7 @@ def test_packing(spark):
             at += length
         assert at <= 1024
     total = sum(r.length for r in rows)
-    assert len(by_bin) <= -(-total // 1024) + 2
+    assert len(by_bin) <= -(-total // 1024) + 1
     assert packing.pack(spark.createDataFrame([], TEXT), PATH).count() == 0
 
 
@@ -228,6 +229,39 @@ def test_fullest():
         assert sum(got) == max(s for s in sums if s <= cap) and all(got.count(k) <= counts[k] for k in got)
 
 
+def best_fit_decreasing(histogram, capacity):
+    free = []
+    for length in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
+        at = min((i for i, f in enumerate(free) if f >= length), key=lambda i: free[i], default=None)
+        if at is None:
+            free.append(capacity)
+            at = len(free) - 1
+        free[at] -= length
+    return len(free)
+
+
+def test_plan():
+    rng = random.Random(12)
+    plain, relaxed = 0, 0
+    for n in (0, 1, 40, 150, 400):
+        for low, high in ((1, 1024), (100, 600), (1, 200)):
+            histogram = collections.Counter(rng.randint(low, high) for _ in range(n))
+            slots = packing.plan(histogram, 1024)
+            filled, placed = collections.defaultdict(list), collections.Counter()
+            for length, first, count, sequence, offset in sorted(slots):
+                assert first == placed[length]
+                placed[length] += count
+                for i in range(count):
+                    filled[sequence + i].append((offset, length))
+            assert placed == histogram
+            for own in filled.values():
+                assert all(b[0] == a[0] + a[1] for a, b in itertools.pairwise(sorted(own))) and min(own)[0] == 0 and sum(x for _, x in own) <= 1024
+            relaxed += len(filled)
+            plain += packing.plan_with(histogram, 1024, 0)[0]
+            assert len(filled) <= best_fit_decreasing(histogram, 1024)
+    assert relaxed < plain
+
+
 def test_simple8b(spark):
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 4095, 4096, 4097, 20000):
