@@ -18,7 +18,7 @@ chunks, so that a task holds a chunk and the first occurrences of classes so far
 
 Results on unusual input: null texts are empty, and documents shorter than `length` lose nothing. Rows that share a
 doc_id are documents that follow one another by text, and identical ones follow in any order; rows without doc_id
-come first. An empty table gives an empty result. Texts may have up to 256 MB each.
+come first. An empty table gives an empty result. Texts are taken whole, up to the 2 GB that a row can hold.
 """
 
 from __future__ import annotations
@@ -35,19 +35,28 @@ from quarry.llm.common import Workspace, small
 
 K = 40
 PLACE = np.uint64((1 << 28) - 1)
+#: Bytes that are looked at together; with a window more, places in them have to fit into PLACE.
+PART = 1 << 27
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of all anchors of the rows in a slice."""
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(data) > int(PLACE):
-        raise ValueError("a text has more than 256 MB")
+    if len(data) > PART:  # windows that begin in a part, each whole in it, have the anchors they have in the slice
+        found = [_anchors(data[a : a + PART + length - 1], offsets - a, length) for a in range(0, len(data) - length + 1, PART)]
+        at, h = np.concatenate([a + k * PART for k, (a, _) in enumerate(found)]), np.concatenate([h for _, h in found])
+        new = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
+        return at[new], h[new]
+    return _anchors(data, offsets, length)
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     p = textscan.prefix(data)
     start = np.arange(len(data) - K + 1)
     h = textscan.mix(substring_k(p, start))
     least = textscan.sliding_min((h & ~PLACE) | start.astype(np.uint64), length - K + 1)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, 0, len(data))))
     inside = row[: len(least)] == row[length - 1 :][: len(least)]
     at = (least[inside] & PLACE).astype(np.int64)
     at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at

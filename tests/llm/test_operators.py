@@ -178,6 +178,16 @@ def test_substrings(spark, request, hot, records):
     assert suffix.deduplicate(spark.createDataFrame([], TEXT)).count() == 0
 
 
+@pytest.mark.parametrize("part", [1, 64, 100, 999])
+def test_anchors_of_parts(monkeypatch, part):
+    rng = np.random.default_rng(part)
+    data = np.concatenate([rng.integers(0, 3, 1500), np.zeros(400, int), rng.integers(0, 256, 500)]).astype(np.uint8)
+    offsets = np.array([0, 0, 700, 750, 1700, 2400])
+    whole = suffix.anchors(data, offsets, 100)
+    monkeypatch.setattr(suffix, "PART", part)
+    assert len(whole[0]) and all((a == b).all() for a, b in zip(whole, suffix.anchors(data, offsets, 100), strict=True))
+
+
 def test_side_order():
     rng = np.random.default_rng(5)
     rows = rng.integers(0, 2, (300, 30)).astype(np.uint8)
