@@ -59,27 +59,28 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = ids[escape]
     body = np.zeros(blocks * BLOCK, np.uint64)
     body[:n] = ids
-    width = np.zeros(blocks * BLOCK, np.int8)
-    width[:n] = np.where(escape, 64, _widths(ids))
-    width = width.reshape(blocks, BLOCK)
-    place = np.arange(BLOCK, dtype=np.int16)
+    width = np.zeros((blocks, BLOCK + COUNT.max()), np.int8)  # beyond a block's ids anything fits
+    flat = np.zeros(blocks * BLOCK, np.int8)
+    flat[:n] = np.where(escape, 64, _widths(ids))
+    width[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     chosen = np.zeros((blocks, BLOCK), np.int8)
-    for s in range(len(SELECTORS), 0, -1):  # from the fewest ids a word to the most
+    most, span = width, 1  # the highest width of the span from each place on
+    for s in range(len(SELECTORS), 0, -1):  # from the fewest ids a word to the most, at most twice the one before
         count, bits = SELECTORS[s - 1]
-        over = width > bits
-        if s < len(SELECTORS) and over.all():
-            continue
-        fails = np.where(over, place, np.int16(32767))
-        ahead = np.minimum.accumulate(fails[:, ::-1], axis=1)[:, ::-1]
-        chosen[ahead >= place + count] = s
-    length = np.minimum(n - np.arange(blocks) * BLOCK, BLOCK)
-    at, active, starts = np.zeros(blocks, np.int64), np.arange(blocks), []
-    while len(active):  # all blocks step from word to word together
-        flat = active * BLOCK + at[active]
-        starts.append(flat)
-        at[active] += COUNT[chosen.reshape(-1)[flat]]
-        active = active[at[active] < length[active]]
-    start = np.sort(np.concatenate(starts))
+        if count > span:
+            most, span = np.maximum(most[:, : most.shape[1] - (count - span)], most[:, count - span :]), count
+        np.copyto(chosen, np.int8(s), where=most[:, :BLOCK] <= bits)
+    total = blocks * BLOCK
+    after = np.arange(total) + COUNT[chosen.reshape(-1)]
+    after[after >= np.minimum(np.repeat(np.arange(1, blocks + 1) * BLOCK, BLOCK), n)] = total
+    after = np.append(after, total)
+    at, starts = np.arange(blocks) * BLOCK, []
+    while (at < total).any():  # all blocks step from word to word together
+        for _ in range(64):
+            starts.append(at)
+            at = after[at]
+    start = np.concatenate(starts)
+    start = np.sort(start[start < total])
     selector = chosen.reshape(-1)[start]
     words = selector.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([body, np.zeros(120, np.uint64)])
