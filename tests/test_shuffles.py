@@ -11,7 +11,7 @@ from tests.parity import compare, connect
 DIRECTORY = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
 #: Queries that search texts, and the share of the texts' bytes that each may shuffle.
-SHARES = {"adaptive_threshold": 0.1, "effective_results": 0.1, "hybrid_ranked": 0.1}
+SHARES = {"adaptive_threshold": 0.1, "effective_results": 0.1, "hybrid_ranked": 0.1, "weak_match_gate": 0.1}
 
 
 def shuffled(spark) -> int:
