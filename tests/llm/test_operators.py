@@ -52,6 +52,22 @@ def folded(n, a, b):
 FOLDED = [folded(n, *ab) for n in (1024, 2048) for ab in ("ab", "ba")]
 
 
+def test_tokens_of_marks(monkeypatch):
+    """Words that differ in marks at their end are one word of the memo, those of letters pass the pattern by, and ids are the library's."""
+    plain, rng, e = Tokenizer.from_file(PATH), random.Random(2), tokens.Encoder(PATH)
+    words, marks = ["zor", "Mél", "ñandúes", "straße", "K9", "3x"], ["", ".", ",", "!!", "%%%", ")];"]
+    seen, joined = [], e._joined
+    monkeypatch.setattr(e, "_joined", lambda some, mark: seen.extend(some) or joined(some, mark))
+    e.encode(pa.array([" ".join(["x", *(w + m for w in words for m in marks)])]))
+    # the first word has no space before it
+    assert len(e._recent.keys) == 1 + len(words) + len(marks) - 1 and sorted(seen) == sorted(["x", "K9", "3x", *marks[1:]])
+    bits = [*words, *marks[1:], "'s", "'re", "'", "(", "-", "_", "~", "×", "÷", "é", "Ȁ", "ȿ", "ɀ", "e\u0301", "…", "я", "²", "١", "😀", "\x7f", "\xad", "<", "|", "Ġ", "Ċ", " ", "\n"]
+    texts = [" ".join("".join(rng.choice(bits) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    ids, sizes = e.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes, strict=True)] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_words_of_equal_polynomials(spark):
     plain, docs = Tokenizer.from_file(PATH), frame(spark, [*FOLDED, *(f"x {t} y" for t in FOLDED)])
     texts = {r.doc_id: r.text for r in docs.collect()}
