@@ -8,8 +8,8 @@
 5. pack: documents are encoded and packed into sequences of at most 1024 tokens.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs. run() writes each stage's
-result to the shared folder and rereads it. Rows without doc_id can be scored, redacted and packed, but are in no
-group and hold no item.
+result to the shared folder and rereads it. Before each stage, executors return memory that is free. Rows without
+doc_id can be scored, redacted and packed, but are in no group and hold no item.
 """
 
 from __future__ import annotations
@@ -17,17 +17,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontam, neardup, packing, pii, quality
-from quarry.llm.common import Workspace, small
+from quarry.llm.common import Workspace, settle, small
 from quarry.llm.queries import quality_model, table, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model is fitted on the stage's input and its labels."""
+    settle(spark)
     return quality.keep_good(docs, quality_model(spark, docs, sf_dir))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies leave; rows that share a doc_id stay or leave together."""
+    settle(spark)
     groups = neardup.near_duplicates(docs, percent=80)
     work = Workspace(spark, "near-dedup-stage")
     gone = work.save(groups.where("NOT kept").select("doc_id"), "gone")
@@ -35,14 +37,17 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return pii.redact(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return packing.pack(docs, tokenizer_path())
 
 

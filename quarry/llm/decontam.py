@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
-from quarry.llm.common import Workspace, small
+from quarry.llm.common import Workspace, let_go, small
 
 MATCH, MISS, GAP = 2, -1, -1
 #: Places with seeds that are held at once, unless one document has more.
@@ -165,6 +165,7 @@ def _counted(vocabulary: np.ndarray, seeds: np.ndarray):
     vocabulary, seeds = pa.array(vocabulary), pa.array(seeds)
 
     def run(batches):
+        let_go()
         for batch in batches:
             total = np.zeros(len(seeds), np.int64)
             for _, data, offsets in textscan.slices(batch.column(0), batch.column(1)):

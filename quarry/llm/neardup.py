@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
-from quarry.llm.common import Workspace, components, give_back, join_counted, small
+from quarry.llm.common import Workspace, components, give_back, join_counted, let_go, small
 
 FULL = np.uint64(2**64 - 1)
 LOW = np.uint64(2**48 - 1)
@@ -75,6 +75,7 @@ def _sketches(k: int, bands: int, rows: int):
     def run(batches):
         import hashlib
 
+        let_go()
         for batch in batches:
             ids, sizes, keys, sketched = [], [], [], []
             for key, own in shingle_sets(batch.column(0), batch.column(1), k):

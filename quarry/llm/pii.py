@@ -23,6 +23,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,7 +232,8 @@ def model(spark: SparkSession, rows: int = 1600, seed: int = 11) -> tuple[Trees,
     """The trees and each kind's threshold; made once a process."""
     if (rows, seed) not in _models:
         made = _sentences(random.Random(seed), rows)
-        frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(made)], "i int, text string")
+        texts = pa.table({"i": pa.array(range(len(made)), pa.int32()), "text": [t for t, _, _ in made]})
+        frame = spark.createDataFrame(texts).repartition(spark.sparkContext.defaultParallelism)  # by Arrow: rows of Python would start workers
         got = _candidates(frame, ["i"]).selectExpr("i", "inline(wide)").orderBy("i", "start", "generator").collect()
         x = np.array([[r[f] for f in FEATURES] for r in got]).reshape(len(got), len(FEATURES))
         y = np.array([float(made[r.i][2] and made[r.i][0].find(made[r.i][1]) < r.stop and r.start < made[r.i][0].find(made[r.i][1]) + len(made[r.i][1])) for r in got])

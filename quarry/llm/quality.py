@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import textscan
-from quarry.llm.common import give_back, prepare
+from quarry.llm.common import give_back, let_go, prepare
 
 BITS = 17
 _SHAPE = np.zeros(256, np.uint64)
@@ -148,6 +148,7 @@ def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def _collect(bits: int):
     def run(batches):
+        let_go()
         for batch in batches:
             found = list(features(batch.column(0), batch.column(1), bits))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k for k, _ in found], pa.int64()), "found": pa.array([f.astype("<u4").tobytes() for _, f in found], pa.binary())})
@@ -162,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, bits: int =
     chosen = []
     for c in (0, 1):  # each a top-k, so that the driver gets 2 * per_class ids
         chosen += [(r.doc_id, c) for r in known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
-    sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    sample = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array([k for k, _ in chosen], pa.int64())}))  # by Arrow: rows of Python would start workers of another kind
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left_semi")
     got = texts.mapInArrow(_collect(bits), "doc_id long, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
     label = dict(chosen)
     rows = [np.frombuffer(x.as_buffer(), "<u4") for x in got["found"]]
@@ -175,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, bits: int =
 
 def _apply(model: Model, bits: int):
     def run(batches):
+        let_go()
         for batch in batches:
             scores = [model.score(model.margin(f)) for _, f in features(batch.column(0), batch.column(1), bits)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])

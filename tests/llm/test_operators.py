@@ -550,3 +550,32 @@ def test_oracles(spark):
     con = connect("/root/testdata/sf0.001")
     for name, sql in queries.oracle_sql().items():
         assert compare(queries.queries()[name](spark, "/root/testdata/sf0.001"), con, sql) == "", name
+
+
+def test_stages_return_memory(spark, monkeypatch):
+    """Each stage begins with a collection in the executors (here the driver's JVM, which takes part as such); no plain Python workers are started."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs, seen, collect = queries.table(spark, d, "documents"), [], common.settle
+    monkeypatch.setattr(corpus_pipeline, "settle", lambda s: seen.append(collect(s)))
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *_: pytest.fail("rows of Python"))
+    pii._models.clear()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, d)
+        assert len(seen) == i + 1, name
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    runs = lambda: sum(b.getCollectionCount() for b in beans())
+    monkeypatch.setattr(common, "give_back", lambda _: None)  # the driver's own collection
+    before = runs()
+    collect(spark)
+    assert runs() > before
+
+
+def test_workers_let_go(spark):
+    """What packing keeps in a worker goes when the same worker turns to another stage."""
+    model = quality.Model(np.zeros(1 << quality.BITS), 0.0, 0.0, 0.0)
+    for run in (quality._collect(quality.BITS), quality._apply(model, quality.BITS), neardup._sketches(5, 42, 6), decontam._counted(np.zeros(0, np.uint64), np.zeros(0, np.int64))):
+        e = tokens.encoder(PATH)
+        assert tokens.encoder(PATH) is e
+        assert list(run(iter([]))) == [] and not common.HELD
